@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, mixing, secrets
+from . import bpe, exact, jaccard, mixing, secrets, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -35,7 +35,19 @@ def op9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.groups(docs).select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op9_exact": op9_exact}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses")
+
+
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("links").alias("n_links"), "copies")
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op9_exact": op9_exact, "op10_jaccard": op10_jaccard,
+}
 
 _SIZES = r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents"
 
