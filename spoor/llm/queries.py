@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, mixing, secrets, toxicity
+from . import bpe, chunks, exact, fingerprint, html, jaccard, licenses, mixing, secrets, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,8 +45,25 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", F.col("links").alias("n_links"), "copies")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.report(table(spark, sf_dir, "documents"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op6_mix": op6_mix, "op7_secrets": op7_secrets, "op9_exact": op9_exact, "op10_jaccard": op10_jaccard,
+    "op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_html": op3_html, "op4_fingerprint": op4_fingerprint, "op5_chunks": op5_chunks, "op6_mix": op6_mix,
+    "op7_secrets": op7_secrets, "op8_licenses": op8_licenses, "op9_exact": op9_exact, "op10_jaccard": op10_jaccard,
 }
 
 _SIZES = r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents"
