@@ -44,3 +44,12 @@ def packed(df: DataFrame, **keys: Column) -> DataFrame:
 
 def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns])
+
+
+#: Rows of a few dozen bytes: about 20 MB in memory on each executor at most.
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to have at most ``most`` rows; beyond that, joins shuffle. ``df`` should be cheap to count."""
+    return F.broadcast(df) if df.count() <= most else df

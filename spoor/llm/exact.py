@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked, work_path, written
+from .common import broadcast_if_small, packed, text_of, unpacked, work_path, written
 
 _ROCKS = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -76,7 +76,7 @@ def groups(docs: DataFrame, digest=sha256_text, locator: Column | None = None, m
     hits = state.filter("n_rows > 1").select(F.col("digest").alias("hit"))
     texts = docs.select(text.alias("text"), digest(text).alias("digest"))
     differ = written(
-        texts.join(hits, F.col("digest") == F.col("hit")).groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "exact-differ"
+        texts.join(broadcast_if_small(hits), F.col("digest") == F.col("hit")).groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").select("digest"), "exact-differ"
     )
     found = arrived.join(state.select("digest", "n_rows", "keep"), "digest")
     out = found.select("digest", "entry", F.col("n_rows").alias("group_size"), "keep")
@@ -102,13 +102,14 @@ def groups(docs: DataFrame, digest=sha256_text, locator: Column | None = None, m
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    marked = groups(docs)
-    kept = written(
-        marked.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("doc_id", "digest").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times")).filter("stays"), "exact-kept"
-    ).select(F.col("doc_id").alias("kid"), F.col("digest").alias("kdigest"), "times")
+    marked = written(groups(docs), "exact-marked")
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    key = [F.col("doc_id").alias("kid"), F.col("digest").alias("kdigest")]
+    gone = marked.filter(~stays).select(*key).distinct()
+    repeated = marked.filter(stays).groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select(*key)
     rows = packed(docs, rid=F.col("doc_id").cast("bigint"), rdigest=sha256_text(text_of()))
     same = F.col("rid").eqNullSafe(F.col("kid")) & (F.col("rdigest") == F.col("kdigest"))
-    found = rows.join(kept.filter("times = 1"), same, "left_semi")
-    if not (repeated := kept.filter("times > 1")).isEmpty():  # one id and one text more than once: one of the rows stays
-        found = found.unionByName(rows.join(repeated, same, "left_semi").dropDuplicates(["rid", "rdigest"]))
+    found = rows.join(broadcast_if_small(written(gone, "exact-gone")), same, "left_anti")
+    if not (repeated := written(repeated, "exact-repeated")).isEmpty():  # one id and one text more than once: one of the rows stays
+        found = found.join(repeated, same, "left_anti").unionByName(found.join(repeated, same, "left_semi").dropDuplicates(["rid", "rdigest"]))
     return unpacked(found, docs)

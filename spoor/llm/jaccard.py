@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked, written
+from .common import broadcast_if_small, packed, text_of, unpacked, written
 from ..plans.components import connected_components
 
 WORDS = 5
@@ -216,7 +216,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
     sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("members")).select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     placed = component.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = placed.join(groups.select("node", "rep", "digest", "copies"), "node").join(texts, F.col("rep") == F.col("doc_id")).select("node", "copies", "component", "blocks", "block", "digest", "text")
+    placed = written(placed.join(groups.select("node", "rep", "digest", "copies"), "node"), "jaccard-members")
+    members = texts.join(broadcast_if_small(placed), F.col("rep") == F.col("doc_id")).select("node", "copies", "component", "blocks", "block", "digest", "text")
     members = members.mapInArrow(_sets, "node bigint, copies bigint, component bigint, blocks int, block int, sig binary, grams binary")
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
     found = written(members.groupBy("component", "low", "high").applyInPandas(_block_pair, "node bigint, links bigint, linked_to bigint"), "jaccard-links")
@@ -233,13 +234,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class stays, the one with the least doc_id, with all its columns."""
-    found = classes(docs)
-    stays = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")), "jaccard-stays").withColumnRenamed("doc_id", "sid")
+    found = written(classes(docs).select("doc_id", "class_id"), "jaccard-classes-of")
+    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = written(found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times")).filter("not stays or times > 1"), "jaccard-gone").withColumnRenamed("doc_id", "sid")
     rows = packed(docs, rid=F.col("doc_id").cast("bigint"))
     same = F.col("rid").eqNullSafe(F.col("sid"))
-    out = rows.join(stays.filter("times = 1"), same, "left_semi")
-    if not (repeated := stays.filter("times > 1")).isEmpty():
-        # Rows that share an id: one of each text that stays for its class.
-        text = F.lower(F.col("row.text"))
-        out = out.unionByName(rows.join(repeated, same, "left_semi").withColumn("words", F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)).dropDuplicates(["rid", "words"]).drop("words"))
+    out = rows.join(broadcast_if_small(gone), same, "left_anti")
+    if not (repeated := gone.filter("stays")).isEmpty():
+        # Rows that share an id: one of each sequence of words stays.
+        words = F.sha2(F.regexp_replace(F.lower(F.coalesce(F.col("row.text").cast("string"), F.lit(""))), r"\s+", " ").cast("binary"), 256)
+        out = out.unionByName(rows.join(repeated, same, "left_semi").withColumn("words", words).dropDuplicates(["rid", "words"]).drop("words"))
     return unpacked(out, docs)
