@@ -17,7 +17,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.coalesce(F.round("position", 9), F.lit(-1.0)).alias("position"))
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,7 @@ d AS (SELECT z.doc_id, z.size, t.source_size, t.target, t.rank, sum(z.size) OVER
       FROM sizes z JOIN t ON z.source IS NOT DISTINCT FROM t.source),
 g AS (SELECT *, greatest(0, least(size, CAST(floor(target) AS BIGINT) - words_before)) AS one, greatest(0, least(size, CAST(floor(target) AS BIGINT) - words_before - source_size)) AS two, words_before / target AS u FROM d)
 SELECT doc_id, size, source_size, target, CAST(one + two AS BIGINT) AS taken,
-  CASE WHEN one > 0 THEN round(CASE rank % 3 WHEN 0 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u)) WHEN 1 THEN 2 * u / (1.5 + sqrt(greatest(2.25 - 2 * u, 0))) ELSE u END, 9) END AS position
+  coalesce(CASE WHEN one > 0 THEN round(CASE rank % 3 WHEN 0 THEN 2 * u / (0.5 + sqrt(0.25 + 2 * u)) WHEN 1 THEN 2 * u / (1.5 + sqrt(greatest(2.25 - 2 * u, 0))) ELSE u END, 9) END, -1.0::DOUBLE) AS position
 FROM g""",
     "op7_secrets": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
