@@ -31,11 +31,11 @@ def division_reports(gt: DataFrame, rec: DataFrame, target_frame: int, threshold
     out = None
     for leniency in range(frame_buffer + 1):
         for shift in {leniency, -leniency}:
-            m = cut(assign(construct_costs(gt_left.join(gt_free.select("id"), "id", "left_semi"), rec_free, shift, threshold), threshold + 1.0))
-            gt_free, rec_free = gt_free.join(m, F.col("id") == F.col("x"), "left_anti"), rec_free.join(m, F.col("id") == F.col("y"), "left_anti")
+            m = _assigned(gt_left.join(gt_free.select("id"), "id", "left_semi"), rec_free, shift, threshold)
+            gt_free, rec_free = gt_free.join(m, F.col("id") == F.col("gt_id"), "left_anti"), rec_free.join(m, F.col("id") == F.col("rec_id"), "left_anti")
             if leniency:
-                m = cut(assign(construct_costs(gt_free, rec_left.join(rec_free.select("id"), "id", "left_semi"), shift, threshold), threshold + 1.0))
-                gt_free, rec_free = gt_free.join(m, F.col("id") == F.col("x"), "left_anti"), rec_free.join(m, F.col("id") == F.col("y"), "left_anti")
+                m = _assigned(gt_free, rec_left.join(rec_free.select("id"), "id", "left_semi"), shift, threshold)
+                gt_free, rec_free = gt_free.join(m, F.col("id") == F.col("gt_id"), "left_anti"), rec_free.join(m, F.col("id") == F.col("rec_id"), "left_anti")
             gt_free, rec_free = cut(gt_free), cut(rec_free)
         left = gt_free.filter(at).agg(F.count(F.lit(1)).alias("fn")).join(rec_free.filter(at).agg(F.count(F.lit(1)).alias("fp")))
         one = left.join(totals).select(F.lit(leniency).alias("leniency"), "gt_total", "rec_total", "fp", "fn", *rates(F.col("gt_total"), F.col("rec_total"), F.col("fp"), F.col("fn")))
@@ -43,6 +43,11 @@ def division_reports(gt: DataFrame, rec: DataFrame, target_frame: int, threshold
     return out
 
 
+def _assigned(gt: DataFrame, rec: DataFrame, shift: int, threshold: float) -> DataFrame:
+    found = assign(construct_costs(gt, rec, shift, threshold), threshold + 1.0)
+    return cut(found.select(F.col("x").alias("gt_id"), F.col("y").alias("rec_id")))
+
+
 def rates(gt_total: Column, rec_total: Column, fp: Column, fn: Column) -> list[Column]:
     """precision, recall and F1 of matched over all points of either side; null where undefined."""
     none = lambda c: F.nullif(c, F.lit(0))

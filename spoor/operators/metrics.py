@@ -122,7 +122,8 @@ def perfect_segments(gt_edges: DataFrame, wrong_edges: DataFrame, wrong_nodes: D
         rows.append(whole.agg(F.count(F.when(F.col("bad") == 0, 1)).alias("correct"), F.count(F.lit(1)).alias("total")).select(F.lit(depth).alias("depth"), "correct", "total"))
         if depth < window:
             walk = state.join(whole.select(F.col("s").alias("s2"), F.col("p").alias("p2"), F.col("bad").alias("before")), (F.col("s") == F.col("s2")) & (F.col("p") == F.col("p2")))
-            state = cut(walk.join(told, F.col("at") == told["target"]).select("s", "p", told["source"].alias("at"), F.greatest("before", "through", told["be"]).alias("bad"), told["bn"].alias("through")))
+            following = told.select(F.col("target").alias("meets"), F.col("source").alias("goes"), F.col("be").alias("next_be"), F.col("bn").alias("next_bn"))
+            state = cut(walk.join(following, F.col("at") == F.col("meets")).select("s", "p", F.col("goes").alias("at"), F.greatest("before", "through", "next_be").alias("bad"), F.col("next_bn").alias("through")))
     out = rows[0]
     for more in rows[1:]:
         out = out.union(more)
