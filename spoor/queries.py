@@ -61,8 +61,8 @@ def query(sql: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
 def _candidates(spark, sf_dir, **how) -> DataFrame:
@@ -204,12 +204,12 @@ def _with_states(cells: DataFrame) -> DataFrame:
     return cells.withColumn("score_mother", F.col("z") / 100).withColumn("score_daughter", F.col("score") / 2).withColumn("score_continuation", 1 - F.col("score"))
 
 
-@query(f"""WITH {_PLAIN} SELECT 'node_selected' AS kind, id, {_NONE}, round(score*score * -0.1::DOUBLE + -1.0::DOUBLE, 6) AS coef FROM cells
-UNION ALL SELECT 'node_appear', id, -1, CASE WHEN {_FREE} THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END FROM cells UNION ALL SELECT 'node_split', id, -1, round((z/100)*(z/100) * -0.1::DOUBLE + 1.0::DOUBLE, 6) FROM cells
-UNION ALL SELECT 'node_child', id, -1, round((score/2)*(score/2) * -0.2::DOUBLE, 6) FROM cells UNION ALL SELECT 'node_continuation', id, -1, round((1-score)*(1-score) * -0.3::DOUBLE, 6) FROM cells
-UNION ALL SELECT 'edge_selected', source, target, round(prediction_distance*prediction_distance * 0.1::DOUBLE, 6) FROM near""")
+@query(f"""WITH {_PLAIN} SELECT 'node_selected' AS kind, id, {_NONE}, round(score*score * -0.1::DOUBLE + -1.0::DOUBLE, 12) + 0.0 AS coef FROM cells
+UNION ALL SELECT 'node_appear', id, -1, CASE WHEN {_FREE} THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END FROM cells UNION ALL SELECT 'node_split', id, -1, round((z/100)*(z/100) * -0.1::DOUBLE + 1.0::DOUBLE, 12) + 0.0 FROM cells
+UNION ALL SELECT 'node_child', id, -1, round((score/2)*(score/2) * -0.2::DOUBLE, 12) + 0.0 FROM cells UNION ALL SELECT 'node_continuation', id, -1, round((1-score)*(1-score) * -0.3::DOUBLE, 12) + 0.0 FROM cells
+UNION ALL SELECT 'edge_selected', source, target, round(prediction_distance*prediction_distance * 0.1::DOUBLE, 12) + 0.0 FROM near""")
 def objective_cell_state(spark, sf_dir):
-    return rounded(objective.objective(_with_states(tables.cells(spark, sf_dir)), _candidates(spark, sf_dir), STATES).fillna(-1, ["other"]), "coef")
+    return rounded(objective.objective(_with_states(tables.cells(spark, sf_dir)), _candidates(spark, sf_dir), STATES).fillna(-1, ["other"]), "coef", digits=12)
 
 
 def _rows(family, table, cid, other, kind, i, o, coef, rel, rhs):
