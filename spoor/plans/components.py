@@ -17,6 +17,13 @@ def cut(df: DataFrame, _round: int = 0) -> DataFrame:
     return df.checkpoint()
 
 
+def join_by_key(rows: DataFrame, one_per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Join on the key wrapped in a struct: both sides are dealt anew, so that AQE may split a key with very many rows,
+    which it cannot where an aggregate's own partitions are joined in place."""
+    other = one_per_key.select(F.struct(key).alias("_key"), *[c for c in one_per_key.columns if c != key])
+    return rows.join(other, F.struct(key) == F.col("_key"), how).drop("_key")
+
+
 def connected_components(edges: DataFrame, keep: Callable[[DataFrame, int], DataFrame] = cut) -> DataFrame:
     """(node, component) for every node of an edge of ``edges`` (a, b): the component is its least node.
 
@@ -30,9 +37,9 @@ def connected_components(edges: DataFrame, keep: Callable[[DataFrame, int], Data
     while True:
         both = pairs.union(pairs.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = join_by_key(both.filter("v > u"), least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(lower, "a").filter("b <> m").select("b", "m").union(lower.select("a", "m")).toDF("a", "b").distinct()
+        linked = join_by_key(large, lower, "a").filter("b <> m").select("b", "m").union(lower.select("a", "m")).toDF("a", "b").distinct()
         pairs = keep(linked, rounds)
         now = pairs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if now == before:
