@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked, written
+from .common import broadcast_if_small, packed, text_of, unpacked, written
 
 MEAN, LEAST, MOST = 24, 8, 4096
 #: A passage of 50 words loses the chunks at both of its ends; repeated single lines stay below.
@@ -103,6 +103,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = table.select("doc_id", F.explode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)).cast("array<bigint>"), "ends").alias("starts"), "ends")).alias("c"))
     rows = rows.filter("c.ends is not null").select("doc_id", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
     shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(F.col("digest").alias("d"), "first")
+    # Written, so that the join deals both sides anew and AQE may split a digest that very many documents have.
+    shared = broadcast_if_small(written(shared, "chunks-shared"))
     found = rows.join(shared, F.col("digest") == F.col("d")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("chunks"))
     return written(found.mapInPandas(_merge, f"doc_id bigint, spans array<struct<start:bigint,end:bigint,chunks:array<{_PART}>>>").filter(F.size("spans") > 0), "chunk-spans")
 
