@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, packed, text_of, unpacked, written
-from ..plans.components import connected_components
+from ..plans.components import connected_components, join_by_key
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -211,7 +211,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     bands = groups.select("node", F.explode("bands").alias("band"))
     least = bands.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
-    edges = bands.join(least, "band").filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
+    edges = join_by_key(bands, least, "band").filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     component = connected_components(written(edges, "jaccard-candidates"), lambda df, k: written(df, f"jaccard-components-{k}"))
 
     sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("members")).select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of, work_path
 from .exact import sha256_text
+from ..plans.components import join_by_key
 
 
 @dataclass(frozen=True)
@@ -97,4 +98,4 @@ def scan_paths(docs: DataFrame, ledger: str | None = None, rules=RULES) -> DataF
     spans = findings(spark, ledger, rules).groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("spans"))
     paths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), sha256_text(text).alias("blob"))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint>>")
-    return paths.join(spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
+    return join_by_key(paths, spans, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
