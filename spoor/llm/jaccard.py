@@ -116,6 +116,10 @@ def _digest(words: list[str]) -> bytes:
     return xxhash.xxh3_128_digest("\0".join(words).encode())
 
 
+def _digests(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _digest(t.lower().split()))
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids = _WordIds()
     for batch in batches:
@@ -234,14 +238,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """One document of each class stays, the one with the least doc_id, with all its columns."""
-    found = written(classes(docs).select("doc_id", "class_id"), "jaccard-classes-of")
-    stays = F.col("doc_id").eqNullSafe(F.col("class_id"))
-    gone = written(found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("times")).filter("not stays or times > 1"), "jaccard-gone").withColumnRenamed("doc_id", "sid")
-    rows = packed(docs, rid=F.col("doc_id").cast("bigint"))
+    found = written(classes(docs).select("doc_id", "digest", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("stays")), "jaccard-classes-of")
+    ids = found.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("times"))
+    gone = written(ids.filter("not stays or times > 1").withColumnRenamed("doc_id", "sid"), "jaccard-gone")
+    rows = packed(docs, rid=F.col("doc_id").cast("bigint"), rtext=text_of())
     same = F.col("rid").eqNullSafe(F.col("sid"))
     out = rows.join(broadcast_if_small(gone), same, "left_anti")
     if not (repeated := gone.filter("stays")).isEmpty():
-        # Rows that share an id: one of each sequence of words stays.
-        words = F.sha2(F.regexp_replace(F.lower(F.coalesce(F.col("row.text").cast("string"), F.lit(""))), r"\s+", " ").cast("binary"), 256)
-        out = out.unionByName(rows.join(repeated, same, "left_semi").withColumn("words", words).dropDuplicates(["rid", "words"]).drop("words"))
+        # Rows that share an id: one of each sequence of words that stays.
+        digests = F.pandas_udf(_digests, "binary")
+        kept = found.filter("stays").select(F.col("doc_id").alias("kid"), F.col("digest").alias("kdigest"))
+        shared = rows.join(repeated, same, "left_semi").withColumn("rdigest", digests("rtext"))
+        shared = shared.join(kept, F.col("rid").eqNullSafe(F.col("kid")) & (F.col("rdigest") == F.col("kdigest")), "left_semi")
+        out = out.unionByName(shared.dropDuplicates(["rid", "rdigest"]).drop("rdigest"))
     return unpacked(out, docs)

@@ -5,8 +5,8 @@ A segment is the whole text or any run of its consecutive lines (a line is also
 cut at sentence ends). Dice of a segment and a template is twice the bigrams
 they share, as multisets, over the bigrams of both. It can reach the threshold
 t only if the sizes' ratio is within t / (2 - t) and its inverse; those bounds
-prune templates for a segment and end the growth of a run. A run starts at a
-line that shares a bigram with a template.
+prune templates for a segment and end the growth of a run. A run starts and
+ends at lines that share a bigram with a template, in them or across their ends.
 
 Defined results: null text counts as empty and has no licence; texts of fewer
 than two words have no bigrams and match nothing; of equal scores the shorter
@@ -79,9 +79,12 @@ def matches(text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> lis
     widest = max(n for _, _, n in made) * (2 - threshold) / threshold
     low = threshold / (2 - threshold)
     lines = [_WORD.findall(line) for line in _UNIT.split(text.lower())]
-    hits = [any(g in known for g in zip(words, words[1:])) for words in lines]
+    lines = [words for words in lines if words]
+    inside = [any(g in known for g in zip(words, words[1:])) for words in lines]
+    across = [(a[-1], b[0]) in known for a, b in zip(lines, lines[1:])]  # from a line to the next
+    starts = [i for i, hit in enumerate(inside) if hit or i < len(across) and across[i]]
     found = []
-    for i in (i for i, hit in enumerate(hits) if hit):
+    for i in starts:
         words: list[str] = []
         counts: Counter = Counter()
         size = 0
@@ -91,8 +94,8 @@ def matches(text: str, templates=TEMPLATES, threshold: float = THRESHOLD) -> lis
             if j > i and size > widest:
                 break
             counts.update(new)
-            words = lines[j] or words
-            if not hits[j] and j > i:
+            words = lines[j]
+            if j > i and not inside[j] and not across[j - 1]:
                 continue
             for order, (name, template, n) in enumerate(made):
                 if n and size and low <= size / n <= 1 / low:
