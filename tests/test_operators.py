@@ -191,3 +191,21 @@ def test_consecutive_states(spark):
     rows = spark.createDataFrame([(1, -1), (2, 1), (3, 1), (4, 1)], "cell_id bigint, parent_id bigint")
     with pytest.raises(Exception, match="two children"):
         filters.division_state(rows).collect()
+
+
+def test_config_and_text(spark, tmp_path):
+    from spoor.operators.objective import as_text, constraints, objective
+    from spoor.plans.config import Config, dump, latest, work_items
+
+    (tmp_path / "solve.json").write_text('{"grid": {"track_cost": [1.0, 2.0], "weight_edge_score": [0.1, 0.2, 0.3]}}')
+    (tmp_path / "c.toml").write_text('store = "/x"\nsolve = "solve.json"\n[roi]\noffset = [0, 0, 0, 0]\nshape = [5, 5, 5, 5]\n[extract]\nedge_move_threshold = 9\n')
+    config = Config.from_file(str(tmp_path / "c.toml"))
+    assert len(config.solve.sets()) == 6 and config.extract.edge_move_threshold == {-1: 9.0} and config.roi.roi.end == (5, 5, 5, 5) and '"store": "/x"' in dump(config)
+    (tmp_path / "bad.toml").write_text('store = "/x"\nwrong = 1\n')
+    with pytest.raises(ValueError):
+        Config.from_file(str(tmp_path / "bad.toml"))
+    assert latest(["a_9", "a_10", "a_1"]) == "a_10" and len(work_items(["s", "t"], [1, 2], [1, 2, 3])) == 12
+    g = graph(spark, [(1, 0, 0, 0, 0), (2, 1, 0, 0, 0)], [(2, 1)])
+    nodes, edges = g.nodes.selectExpr("*", "1.0D as score"), g.edges.selectExpr("*", "2.0D as prediction_distance")
+    lines = [r["value"] for r in as_text(objective(nodes, edges, SolveParameters()), constraints(nodes, edges)).collect()]
+    assert len(lines) == 7 + 1 + 2 * 4 and any(line.startswith("edge_endpoints") and line.endswith("<= 0.0") for line in lines)
