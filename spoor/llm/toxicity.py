@@ -157,7 +157,7 @@ def _count_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": names, "n1": [counts[1][f] for f in names], "n0": [counts[0][f] for f in names]})
 
 
-def learn_lexicon(sample: DataFrame, n1: int, n0: int, entries: int = 5000, least_docs: int = 4, least_weight: float = 1.5, least_g2: float = 25.0) -> Lexicon:
+def learn_lexicon(sample: DataFrame, n1: int, n0: int, entries: int = 5000, least_docs: int = 4, least_weight: float = 1.5, least_g2: float = 18.0) -> Lexicon:
     """Words and beginnings whose presence speaks for the toxic class: log-odds at least ``least_weight``, likelihood ratio at least ``least_g2``."""
     if not n1 or not n0:
         return Lexicon()
