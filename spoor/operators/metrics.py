@@ -131,7 +131,7 @@ def perfect_segments(gt_edges: DataFrame, wrong_edges: DataFrame, wrong_nodes: D
 
 
 def norm_distance(distance: Column, inflection: float = 50.0) -> Column:
-    """A logistic of the distance, 1e-4 at 0 and 1/2 at the inflection; a common frame at no distance counts nothing much."""
+    """A logistic of the distance: 1e-4 at 0, one half at the inflection, near 1 far beyond it."""
     slope = log(9999.0) / inflection
     return 1.0 / (1.0 + F.exp(-slope * (distance - inflection)))
 
@@ -149,7 +149,8 @@ def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
 
     For tracks without gaps the distance is n1 + n2 - 2c + the sum over the c
     common frames of the normed distances; without a common frame, n1 + n2, so
-    the shortest reconstructed track stands for all of those.
+    the shortest reconstructed track stands for all of those. No reconstructed
+    track at all is an error.
     """
     size = lambda d, n: d.groupBy("track").agg(F.count(F.lit(1)).alias(n))
     g, r = cut(gt_tracks), cut(rec_tracks)
@@ -160,5 +161,5 @@ def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     common = space(g, "a_").join(space(r, "b_"), "t").groupBy("a_track", "b_track").agg(F.count(F.lit(1)).alias("c"), F.sum(norm_distance(F.sqrt(distance2()))).alias("d"))
     scored = common.join(ng.withColumnRenamed("track", "a_track"), "a_track").join(nr.withColumnRenamed("track", "b_track"), "b_track")
     least = scored.groupBy("a_track").agg(F.min(F.col("n1") + F.col("n2") - 2 * F.col("c") + F.col("d")).alias("near"))
-    shortest = nr.agg(F.min("n2").alias("shortest"))
+    shortest = nr.agg(F.coalesce(F.min("n2"), F.raise_error(F.lit("no reconstructed track")).cast("bigint")).alias("shortest"))
     return ng.join(least, F.col("track") == F.col("a_track"), "left").join(shortest).select("track", F.least(F.coalesce("near", F.lit(float("inf"))), (F.col("n1") + F.col("shortest")).cast("double")).alias("score"))

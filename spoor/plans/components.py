@@ -13,7 +13,7 @@ def cut(df: DataFrame, _round: int = 0) -> DataFrame:
     """Cut lineage with a reliable checkpoint; a folder of our own only where ``spark.checkpoint.dir`` is unset."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spoor-"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="spoor-"))
     return df.checkpoint()
 
 

@@ -42,3 +42,33 @@ def test_contracted_shapes():
     fork, fork2 = [(2, 1), (3, 2), (4, 2)], [(2, 1), (3, 2), (4, 3), (5, 3)]
     assert shape(path) == shape(longer)
     assert shape(fork) == shape(fork2) != shape(path)
+
+
+def chain(spark, moved=0.0, frames=range(8)):
+    rows = [(t + 1, t, float(t % 3), float(t % 5), float(t % 7) + moved) for t in frames]
+    return graph(spark, rows, [(b[0], a[0]) for a, b in zip(rows, rows[1:])])
+
+
+@pytest.mark.parametrize("rec, expected", [(dict(), 0.0), (dict(moved=1.0), 8 / (1 + 9999 ** (49 / 50))), (dict(moved=200.0), 8.0), (dict(frames=range(1, 8)), 1.0), (dict(frames=range(9)), 1.0), (dict(frames=range(20, 28)), 16.0)])
+def test_track_distance(spark, rec, expected):
+    from spoor.operators.metrics import split_tracks, validation_score
+
+    g, r = chain(spark), chain(spark, **rec)
+    rows = validation_score(split_tracks(g.nodes, g.edges), split_tracks(r.nodes, r.edges)).collect()
+    assert [row["score"] for row in rows] == pytest.approx([expected], abs=0.01)
+
+
+def test_no_reconstructed_track_is_an_error(spark):
+    from spoor.operators.metrics import split_tracks, validation_score
+
+    g, r = chain(spark), chain(spark, frames=range(1))
+    with pytest.raises(Exception, match="no reconstructed track"):
+        validation_score(split_tracks(g.nodes, g.edges), split_tracks(r.nodes, r.edges)).collect()
+
+
+def test_split_gives_two_pieces_and_the_root(spark):
+    from spoor.operators.metrics import split_tracks
+
+    g = graph(spark, *DIVISION)
+    lengths = sorted(r["count"] for r in split_tracks(g.nodes, g.edges).groupBy("track").count().collect())
+    assert lengths == [2, 3, 4]
