@@ -50,8 +50,8 @@ STEP = 36
 TOLERANCE = 1e-6
 #: Stands for a null doc_id.
 _NULL_ID = -(1 << 62)
-#: Members of a block; a group has at most about twice as many.
-BLOCK = 384
+#: Members and words of a block; a group has at most about twice as many.
+BLOCK, BLOCK_WORDS = 384, 2_000_000
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDENDS = np.random.default_rng(8).integers(0, 1 << 32, N_HASHES, dtype=np.uint64).astype(np.uint32)
@@ -125,7 +125,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in _texts(batch):
             bands = band_values(np.array([minhash(shingle_set(w, ids)) for w in texts])).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_digest(w) for w in texts], pa.binary()), pa.array(list(bands), pa.list_(pa.int64()))], ["doc_id", "digest", "bands"])
+            columns = [part.column(0), pa.array([_digest(w) for w in texts], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([len(w) for w in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "words"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +210,8 @@ def _block_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, digest, rep (the least id of its copies), copies, class_id (the least id of its class), links."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), text_of().alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id bigint, digest binary, bands array<bigint>"), "jaccard-signed")
-    groups = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    signed = written(texts.mapInArrow(_sign, "doc_id bigint, digest binary, bands array<bigint>, words bigint"), "jaccard-signed")
+    groups = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.max("words").alias("words"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "jaccard-groups")
 
     bands = groups.select("node", F.explode("bands").alias("band"))
@@ -218,9 +219,10 @@ def classes(docs: DataFrame) -> DataFrame:
     edges = join_by_key(bands, least, "band").filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
     component = connected_components(written(edges, "jaccard-candidates"), lambda df, k: written(df, f"jaccard-components-{k}"))
 
-    sized = component.groupBy("component").agg(F.count(F.lit(1)).alias("members")).select("component", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    placed = component.join(sized, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = written(placed.join(groups.select("node", "rep", "digest", "copies"), "node"), "jaccard-members")
+    known = written(component.join(groups.select("node", "rep", "digest", "copies", "words"), "node"), "jaccard-members")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("words") / BLOCK_WORDS)).cast("int")
+    placed = join_by_key(known, known.groupBy("component").agg(blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = written(placed.drop("words"), "jaccard-placed")
     members = texts.join(broadcast_if_small(placed), F.col("rep") == F.col("doc_id")).select("node", "copies", "component", "blocks", "block", "digest", "text")
     members = members.mapInArrow(_sets, "node bigint, copies bigint, component bigint, blocks int, block int, sig binary, grams binary")
     members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
@@ -230,7 +232,7 @@ def classes(docs: DataFrame) -> DataFrame:
     joined = connected_components(written(forest, "jaccard-forest"), lambda df, k: written(df, f"jaccard-classes-{k}")).join(groups.select("node", "rep"), "node")
     named = joined.join(joined.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("node", "class_id")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = groups.drop("bands").join(named, "node", "left").join(links, "node", "left")
+    told = groups.drop("bands", "words").join(named, "node", "left").join(links, "node", "left")
     told = told.select("digest", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     as_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return signed.select("doc_id", "digest").join(told, "digest").select(as_id("doc_id"), "digest", as_id("rep"), "copies", as_id("class_id"), "links")
