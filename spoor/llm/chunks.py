@@ -1,18 +1,25 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A gear hash h = 2h + G[byte] modulo 2^16 sees the last 16 bytes. A chunk ends
-where h is below 2^16 / ``MEAN``, unless such a place came within ``LEAST``
-bytes before, and at the latest after ``MOST`` bytes. Ends depend on the bytes
-around them alone, so chunks resist shifts from insertions. Chunks are
-deduplicated by digest: a chunk that another document has too is repeated, and
-repeated chunks that adjoin and together reach ``MIN_BYTES`` form a span. The
-document with the least id keeps a span's chunks, the others lose them.
-
-Defined results: null text counts as empty and has no chunks; rows with one id
-count as one document; an empty table gives no rows; what repeats only within
-one document stays. A digest has 64 bits: among 10^12 chunks about 3 * 10^4
-pairs of different ones meet, and only such as reach ``MIN_BYTES`` alone or
-with repeated neighbours would be lost.
+The gear hash h = 2h + G[byte] modulo 2^32 sees the last 32 bytes. Every window
+of ``MIN_BYTES`` bytes has one place where that hash is least (the first of
+equal ones), so chunks end at places that depend on the window's bytes alone,
+in stretches of one repeated word too. Adjoining windows with one place form a
+block. Blocks are deduplicated by digest: where all blocks of a place are equal,
+their windows are; where they differ, each kind of block tells the digests of
+its windows once, and those are compared.
+
+A window that another document has too is repeated; windows that touch form a
+span. So every stretch of ``MIN_BYTES`` or more that some other document has as
+one piece is in a span, and nothing else is. At its two ends a stretch is
+narrowed to whole words (to whole characters, where a word is longer than
+``GRAM`` bytes). The document with the least id keeps a window, the others lose
+it.
+
+Defined results: null text counts as empty; rows with one id count as one
+document, and rows without an id as none; an empty table gives no rows; what
+repeats only within one document stays.
+Digests have 64 bits and bytes are not compared: among 10^12 blocks or windows
+about 3 * 10^4 pairs of different ones meet.
 """
 
 from __future__ import annotations
@@ -22,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +38,17 @@ MEAN, LEAST, MOST = 24, 8, 4096
 #: A passage of 50 words loses the chunks at both of its ends; repeated single lines stay below.
 MIN_BYTES = 100
 
+#: Bytes that the gear hash of a place sees, and bytes hashed at once.
+GRAM, PIECE = 32, 1 << 20
+_BLANK = frozenset(b" \t\n\v\f\r")
+
 GEAR = np.random.default_rng(2024).integers(0, 1 << 16, 256, dtype=np.uint16)
+_GEAR32 = np.random.default_rng(2025).integers(0, 1 << 32, 256, dtype=np.uint32)
+_TABLE = np.random.default_rng(2026).integers(0, 1 << 64, 256, dtype=np.uint64)
+
+
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(0x5851F42D4C957F2D, n, 1 << 64))
 
 
 def chunk_ends(data: bytes) -> np.ndarray:
@@ -63,63 +79,207 @@ def chunk_ends(data: bytes) -> np.ndarray:
     return ends
 
 
+def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit polynomial hashes of every ``GRAM`` and of every ``MIN_BYTES`` bytes."""
+    at = {1: _TABLE[b]}
+    for span in (1, 2, 4, 8, 16, 32):
+        at[2 * span] = at[span][:-span] * _power(span) + at[span][span:]
+    n = max(0, len(b) - MIN_BYTES + 1)
+    return at[32], at[64][:n] * _power(36) + at[32][64 : 64 + n] * _power(4) + at[4][96 : 96 + n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Blocks of all ``texts``: (text, first window, last window, place digest, block digest), as arrays.
+
+    A block is a run of windows of ``MIN_BYTES`` bytes that have their least gear hash at one place.
+    """
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    n = len(b) - MIN_BYTES + 1
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    whole = np.maximum(0, sizes - MIN_BYTES + 1)
+    if not whole.any():
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    g = _GEAR32[b]
+    for span in (1, 2, 4, 8, 16):
+        g[span:] = g[span:] + (g[:-span] << np.uint32(span))
+    least = (g[GRAM - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(len(b) - GRAM + 1, dtype=np.uint64)
+    for span in (1, 2, 4, 8, 16, 32, MIN_BYTES - GRAM + 1 - 64):
+        least = np.minimum(least[:-span], least[span:])
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    text = np.repeat(np.arange(len(texts)), whole)
+    start = np.arange(len(text)) - np.repeat(np.cumsum(whole) - whole, whole) + begin[text]  # windows inside one text
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (place[start[1:]] != place[start[:-1]])])
+    i = np.flatnonzero(new)
+    first, last = start[i], start[np.concatenate([i[1:], [len(start)]]) - 1]
+    grams, windows = _sums(b)
+    return text[i], first - begin[text[i]], last - begin[text[i]], _mixed(grams[place[first]]), _digest(windows, first, last)
+
+
+def _digest(windows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of the bytes from the first window to the end of the last: the two cover all of them."""
+    return _mixed(windows[first] * np.uint64(0x9E3779B97F4A7C15) + _mixed(windows[last]).view(np.uint64) + (last - first).astype(np.uint64))
+
+
+def _pieces(texts: Iterator[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Lists of (text, offset, bytes) of about ``PIECE`` bytes; long texts are cut so that each window is in one piece."""
+    some, size = [], 0
+    for i, data in enumerate(texts):
+        for at in range(0, max(1, len(data) - MIN_BYTES + 1), PIECE):
+            part = data[at : at + PIECE + MIN_BYTES - 1]
+            some.append((i, at, part))
+            size += len(part)
+            if size >= PIECE:
+                yield some
+                some, size = [], 0
+    if some:
+        yield some
+
+
+def _inside(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """The whole characters between two places."""
+    while start < end and data[start] & 0xC0 == 0x80:
+        start += 1
+    while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return start, end
+
+
 def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_64_digest
     for batch in batches:
-        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-            digests, places = [], []
-            for text in part.column(1):
-                data = text.as_py().encode()
-                ends = chunk_ends(data)
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                digests.append(np.frombuffer(b"".join([digest(data[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]), np.int64))
-                places.append(ends)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digests, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["doc_id", "digests", "ends"])
+        texts = [t.as_py().encode() for t in batch.column(2)]
+        for some in _pieces(texts):
+            if not (found := blocks([d for _, _, d in some]))[0].size:
+                continue
+            text = np.array([i for i, _, _ in some])[found[0]]
+            offset = np.array([at for _, at, _ in some])[found[0]]
+            first, last = found[1] + offset, found[2] + offset
+            low, high = first.copy(), last + MIN_BYTES
+            for k in np.flatnonzero(np.array([not t.isascii() for t in texts])[text]).tolist():
+                low[k], high[k] = _inside(texts[text[k]], int(first[k]), int(last[k]) + MIN_BYTES)
+            rows = pa.array(text)
+            arrays = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(a) for a in (found[3], found[4], first, last, low, high))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "place", "block", "first", "last", "low", "high"])
+
+
+def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of blocks: (block, offset of the whole characters and their end from the first window, digest, least and greatest document)."""
+    for batch in batches:
+        for text, wanted in zip(batch["text"], batch["wanted"]):
+            data, out = text.encode(), []
+            for r in wanted:
+                first, last = r["first"], r["last"]
+                windows = _sums(np.frombuffer(data[first : last + MIN_BYTES], np.uint8))[1]
+                n = last - first + 1
+                ends = [_inside(data, first + k, first + k + MIN_BYTES) for k in range(n)]
+                out.append(pd.DataFrame({"block": r["block"], "low": [s - first for s, _ in ends], "high": [e - first for _, e in ends], "digest": _mixed(windows), "least": r["least"], "most": r["most"]}))
+            if out:
+                yield pd.concat(out)
+
+
+def _join(pieces: list[tuple[int, int, int]]) -> list[list[int]]:
+    """Pieces of one keeper that touch, as one."""
+    out: list[list[int]] = []
+    for keeper, start, end in sorted((k, s, e) for s, e, k in pieces):
+        if out and out[-1][2] == keeper and start <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end, keeper])
+    return out
+
+
+def _word_edges(data: bytes, start: int, end: int) -> tuple[int, int]:
+    """``start`` and ``end`` moved inwards past blanks and parts of words; they stay where a word is longer than ``GRAM``."""
+    for s in range(start, min(start + GRAM + 1, end)):
+        if data[s] not in _BLANK and (s == 0 or data[s - 1] in _BLANK):
+            start = s
+            break
+    for e in range(end, max(end - GRAM - 1, start), -1):
+        if data[e - 1] not in _BLANK and (e == len(data) or data[e] in _BLANK):
+            end = e
+            break
+    return start, end
 
 
 def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans of adjoining repeated chunks that are long enough: (start, end, first document, removed) in bytes."""
+    """Spans, cut into pieces by the least document that keeps them."""
     for batch in batches:
         out = []
-        for rows in batch["chunks"]:
-            spans: list[list] = []
-            for r in sorted({(r["start"], r["end"], r["first"]) for r in rows}):
-                if spans and spans[-1][1] == r[0]:
-                    spans[-1][1] = r[1]
-                    spans[-1][2].append(r)
+        for text, rows in zip(batch["text"], batch["pieces"]):
+            data = text.encode()
+            opened: dict[int, list[int]] = {}
+            closed: dict[int, list[int]] = {}
+            for start, end, keeper in _join([(r["start"], r["end"], r["first"]) for r in rows]):
+                start, end = _word_edges(data, start, end)
+                opened.setdefault(start, []).append(keeper)
+                closed.setdefault(end, []).append(keeper)
+            spans, live, cuts = [], set(), sorted(opened.keys() | closed.keys())
+            for start, end in zip(cuts, cuts[1:]):
+                live = live.difference(closed.get(start, ())).union(opened.get(start, ()))
+                if not live:
+                    continue
+                if not spans or spans[-1]["end"] != start:
+                    spans.append({"start": start, "end": end, "chunks": []})
+                span, keeper = spans[-1], min(live)
+                span["end"] = end
+                if span["chunks"] and span["chunks"][-1]["first"] == keeper:
+                    span["chunks"][-1]["end"] = end
                 else:
-                    spans.append([r[0], r[1], [r]])
-            out.append([{"start": s, "end": e, "chunks": [{"start": c[0], "end": c[1], "first": c[2]} for c in cs]} for s, e, cs in spans if e - s >= MIN_BYTES])
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "spans": out})
+                    span["chunks"].append({"start": start, "end": end, "first": keeper})
+            out.append(spans)
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "version": batch["version"], "spans": out})
 
 
 _PART = "struct<start:bigint,end:bigint,first:bigint>"
 
 
 def repeated(docs: DataFrame) -> DataFrame:
-    """One row a document with repeated spans: doc_id, spans (start, end in UTF-8 bytes, and the chunks with the document that keeps them)."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    table = written(texts.mapInArrow(_chunk, "doc_id bigint, digests array<bigint>, ends array<bigint>"), "chunks")
-    rows = table.select("doc_id", F.explode(F.arrays_zip("digests", F.concat(F.array(F.lit(0)).cast("array<bigint>"), "ends").alias("starts"), "ends")).alias("c"))
-    rows = rows.filter("c.ends is not null").select("doc_id", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), F.col("c.ends").alias("end"))
-    shared = rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(F.col("digest").alias("d"), "first")
-    # Written, so that the join deals both sides anew and AQE may split a digest that very many documents have.
+    """One row a text with repeated spans: doc_id, version (of the text), spans (start, end in UTF-8 bytes, and the pieces with the document that keeps them)."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text")).filter("doc_id is not null")
+    rows = written(texts.mapInArrow(_chunk, "doc_id bigint, version bigint, place bigint, block bigint, first bigint, last bigint, low bigint, high bigint"), "chunks")
+    kinds = rows.groupBy("place", "block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    kinds = written(kinds, "chunks-kinds")
+    places = kinds.groupBy("place").agg(F.min("least").alias("l"), F.max("most").alias("m"), (F.count("*") > 1).alias("open")).filter("l < m").select(F.col("place").alias("p"), "open")
+    # Written, so that the joins deal both sides anew and AQE may split a digest that very many documents have.
+    places = broadcast_if_small(written(places, "chunks-places"))
+    shared = kinds.join(places, F.col("place") == F.col("p")).select(F.col("block").alias("b"), "least", "most", "open")
     shared = broadcast_if_small(written(shared, "chunks-shared"))
-    found = rows.join(shared, F.col("digest") == F.col("d")).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end", "first")).alias("chunks"))
-    return written(found.mapInPandas(_merge, f"doc_id bigint, spans array<struct<start:bigint,end:bigint,chunks:array<{_PART}>>>").filter(F.size("spans") > 0), "chunk-spans")
+    hits = written(rows.drop("place").join(shared, F.col("block") == F.col("b")).drop("b"), "chunk-hits")
+
+    one_each = texts.dropDuplicates(["doc_id", "version"])
+    # Where texts agree at a place but not in all its windows, each kind of block tells its windows once.
+    wanted = hits.filter("open and doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("block", "first", "last", "least", "most")).alias("wanted"))
+    asked = wanted.join(one_each, ["doc_id", "version"]).select("text", "wanted")
+    windows = written(asked.mapInPandas(_windows, "block bigint, low bigint, high bigint, digest bigint, least bigint, most bigint").dropDuplicates(["block", "low", "high", "digest"]), "chunk-windows")
+    common = windows.groupBy("digest").agg(F.min("least").alias("keeper"), F.max("most").alias("m")).filter("keeper < m").select(F.col("digest").alias("d"), "keeper")
+    common = written(common, "chunk-common")
+    parts = windows.join(common, F.col("digest") == F.col("d")).groupBy("block").agg(F.collect_list(F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("keeper").alias("first"))).alias("parts"))
+    joined = F.pandas_udf(lambda column: pd.Series([[{"start": s, "end": e, "first": k} for s, e, k in _join([(r["start"], r["end"], r["first"]) for r in rs])] for rs in column]), f"array<{_PART}>")
+    parts = written(parts.select(F.col("block").alias("b"), joined("parts").alias("parts")), "chunk-parts")
+    partly = hits.filter("open").join(parts, F.col("block") == F.col("b")).select("doc_id", "version", "first", F.explode("parts").alias("x"))
+    partly = partly.select("doc_id", "version", F.struct((F.col("first") + F.col("x.start")).alias("start"), (F.col("first") + F.col("x.end")).alias("end"), F.col("x.first").alias("first")).alias("piece"))
+    fully = hits.filter("not open").select("doc_id", "version", F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("least").alias("first")).alias("piece"))
+    found = fully.unionByName(partly).groupBy("doc_id", "version").agg(F.collect_list("piece").alias("pieces"))
+    found = found.join(one_each, ["doc_id", "version"])
+    return written(found.mapInPandas(_merge, f"doc_id bigint, version bigint, spans array<struct<start:bigint,end:bigint,chunks:array<{_PART}>>>").filter(F.size("spans") > 0), "chunk-spans")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, repeated, n_spans, repeated_bytes, removed_bytes, spans as text, first_doc_ids."""
-    found = repeated(docs).withColumnRenamed("doc_id", "rid")
+    found = repeated(docs).withColumnsRenamed({"doc_id": "rid", "version": "rv"})
     parts = F.flatten(F.transform("spans", lambda s: s["chunks"]))
     length = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
     told = found.select(
-        "rid", F.size("spans").cast("bigint").alias("n"), length(F.col("spans")).alias("all"), length(F.filter(parts, lambda c: c["first"] != F.col("rid"))).alias("gone"),
+        "rid", "rv", F.size("spans").cast("bigint").alias("n"), length(F.col("spans")).alias("all"), length(F.filter(parts, lambda c: c["first"] != F.col("rid"))).alias("gone"),
         F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("text"),
         F.array_sort(F.array_distinct(F.transform(parts, lambda c: c["first"]))).alias("firsts"),
     )
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).join(told, F.col("doc_id") == F.col("rid"), "left")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("v")).join(told, (F.col("doc_id") == F.col("rid")) & (F.col("v") == F.col("rv")), "left")
     zero = F.lit(0).cast("bigint")
     return ids.select(
         "doc_id", F.col("n").isNotNull().alias("repeated"), F.coalesce("n", zero).alias("n_spans"), F.coalesce("all", zero).alias("repeated_bytes"), F.coalesce("gone", zero).alias("removed_bytes"),
@@ -129,7 +289,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated spans cut out of all but the documents that keep them."""
-    found = repeated(docs).select(F.col("doc_id").alias("rid"), F.filter(F.flatten(F.transform("spans", lambda s: s["chunks"])), lambda c: c["first"] != F.col("doc_id")).alias("gone"))
+    found = repeated(docs).select(F.col("doc_id").alias("rid"), F.col("version").alias("rv"), F.filter(F.flatten(F.transform("spans", lambda s: s["chunks"])), lambda c: c["first"] != F.col("doc_id")).alias("gone"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -144,5 +304,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
         return pd.Series([one(t, g) for t, g in zip(text, gone)])
 
-    rows = packed(docs, id=F.col("doc_id").cast("bigint")).join(found, F.col("id") == F.col("rid"), "left")
+    rows = packed(docs, id=F.col("doc_id").cast("bigint"), v=F.xxhash64(text_of())).join(found, (F.col("id") == F.col("rid")) & (F.col("v") == F.col("rv")), "left")
     return unpacked(rows.withColumn("row", F.col("row").withField("text", without(F.col("row.text").cast("string"), F.col("gone")))), docs)
