@@ -108,6 +108,8 @@ def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     g = _GEAR32[b]
     for span in (1, 2, 4, 8, 16):
         g[span:] = g[span:] + (g[:-span] << np.uint32(span))
+    g = g * np.uint32(0x9E3779B1)  # else neighbouring hashes, one twice the other, fall together
+    g ^= g >> np.uint32(15)
     least = (g[GRAM - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(len(b) - GRAM + 1, dtype=np.uint64)
     for span in (1, 2, 4, 8, 16, 32, MIN_BYTES - GRAM + 1 - 64):
         least = np.minimum(least[:-span], least[span:])
@@ -168,18 +170,24 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of blocks: (block, offset of the whole characters and their end from the first window, digest, least and greatest document)."""
+    """The windows of blocks: (block, whole characters' start and end from the first window, digest, least and greatest document)."""
     for batch in batches:
         for text, wanted in zip(batch["text"], batch["wanted"]):
-            data, out = text.encode(), []
-            for r in wanted:
-                first, last = r["first"], r["last"]
-                windows = _sums(np.frombuffer(data[first : last + MIN_BYTES], np.uint8))[1]
-                n = last - first + 1
-                ends = [_inside(data, first + k, first + k + MIN_BYTES) for k in range(n)]
-                out.append(pd.DataFrame({"block": r["block"], "low": [s - first for s, _ in ends], "high": [e - first for _, e in ends], "digest": _mixed(windows), "least": r["least"], "most": r["most"]}))
-            if out:
-                yield pd.concat(out)
+            data = text.encode()
+            unlike = list({r["block"]: r for r in wanted}.values())
+            for some in (unlike[i : i + 5000] for i in range(0, len(unlike), 5000)):
+                parts = [data[r["first"] : r["last"] + MIN_BYTES] for r in some]
+                digests = _mixed(_sums(np.frombuffer(b"".join(parts), np.uint8))[1])
+                counts = np.array([r["last"] - r["first"] + 1 for r in some])
+                begin = np.cumsum(counts + MIN_BYTES - 1) - counts - MIN_BYTES + 1
+                k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+                low, high = k.copy(), k + MIN_BYTES
+                if not data.isascii():
+                    first = np.repeat([r["first"] for r in some], counts)
+                    ends = np.array([_inside(data, f, f + MIN_BYTES) for f in (first + k).tolist()])
+                    low, high = ends[:, 0] - first, ends[:, 1] - first
+                told = {name: np.repeat(np.array([r[name] for r in some], np.int64), counts) for name in ("block", "least", "most")}
+                yield pd.DataFrame({"block": told["block"], "low": low, "high": high, "digest": digests[np.repeat(begin, counts) + k], "least": told["least"], "most": told["most"]})
 
 
 def _join(pieces: list[tuple[int, int, int]]) -> list[list[int]]:
@@ -242,20 +250,19 @@ def repeated(docs: DataFrame) -> DataFrame:
     """One row a text with repeated spans: doc_id, version (of the text), spans (start, end in UTF-8 bytes, and the pieces with the document that keeps them)."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text")).filter("doc_id is not null")
     rows = written(texts.mapInArrow(_chunk, "doc_id bigint, version bigint, place bigint, block bigint, first bigint, last bigint, low bigint, high bigint"), "chunks")
-    kinds = rows.groupBy("place", "block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    kinds = written(kinds, "chunks-kinds")
-    places = kinds.groupBy("place").agg(F.min("least").alias("l"), F.max("most").alias("m"), (F.count("*") > 1).alias("open")).filter("l < m").select(F.col("place").alias("p"), "open")
+    places = rows.groupBy("place").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("m"), (F.min("block") < F.max("block")).alias("open"))
     # Written, so that the joins deal both sides anew and AQE may split a digest that very many documents have.
-    places = broadcast_if_small(written(places, "chunks-places"))
-    shared = kinds.join(places, F.col("place") == F.col("p")).select(F.col("block").alias("b"), "least", "most", "open")
-    shared = broadcast_if_small(written(shared, "chunks-shared"))
-    hits = written(rows.drop("place").join(shared, F.col("block") == F.col("b")).drop("b"), "chunk-hits")
+    places = broadcast_if_small(written(places.filter("keeper < m").select(F.col("place").alias("p"), "keeper", "open"), "chunks-places"))
+    hits = written(rows.join(places, F.col("place") == F.col("p")).drop("place", "p"), "chunk-hits")
 
     one_each = texts.dropDuplicates(["doc_id", "version"])
     # Where texts agree at a place but not in all its windows, each kind of block tells its windows once.
-    wanted = hits.filter("open and doc_id = least").groupBy("doc_id", "version").agg(F.collect_list(F.struct("block", "first", "last", "least", "most")).alias("wanted"))
+    kinds = hits.filter("open").groupBy("block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumnRenamed("block", "b")
+    kinds = broadcast_if_small(written(kinds, "chunk-kinds"))
+    wanted = hits.filter("open").join(kinds, (F.col("block") == F.col("b")) & (F.col("doc_id") == F.col("least")))
+    wanted = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("block", "first", "last", "least", "most")).alias("wanted"))
     asked = wanted.join(one_each, ["doc_id", "version"]).select("text", "wanted")
-    windows = written(asked.mapInPandas(_windows, "block bigint, low bigint, high bigint, digest bigint, least bigint, most bigint").dropDuplicates(["block", "low", "high", "digest"]), "chunk-windows")
+    windows = written(asked.mapInPandas(_windows, "block bigint, low int, high int, digest bigint, least bigint, most bigint"), "chunk-windows")
     common = windows.groupBy("digest").agg(F.min("least").alias("keeper"), F.max("most").alias("m")).filter("keeper < m").select(F.col("digest").alias("d"), "keeper")
     common = written(common, "chunk-common")
     parts = windows.join(common, F.col("digest") == F.col("d")).groupBy("block").agg(F.collect_list(F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("keeper").alias("first"))).alias("parts"))
@@ -263,7 +270,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     parts = written(parts.select(F.col("block").alias("b"), joined("parts").alias("parts")), "chunk-parts")
     partly = hits.filter("open").join(parts, F.col("block") == F.col("b")).select("doc_id", "version", "first", F.explode("parts").alias("x"))
     partly = partly.select("doc_id", "version", F.struct((F.col("first") + F.col("x.start")).alias("start"), (F.col("first") + F.col("x.end")).alias("end"), F.col("x.first").alias("first")).alias("piece"))
-    fully = hits.filter("not open").select("doc_id", "version", F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("least").alias("first")).alias("piece"))
+    fully = hits.filter("not open").select("doc_id", "version", F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("keeper").alias("first")).alias("piece"))
     found = fully.unionByName(partly).groupBy("doc_id", "version").agg(F.collect_list("piece").alias("pieces"))
     found = found.join(one_each, ["doc_id", "version"])
     return written(found.mapInPandas(_merge, f"doc_id bigint, version bigint, spans array<struct<start:bigint,end:bigint,chunks:array<{_PART}>>>").filter(F.size("spans") > 0), "chunk-spans")
