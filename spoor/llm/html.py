@@ -8,8 +8,13 @@ densities of its children. The node of greatest sum is the content's centre,
 and the least density on its path to the body is the threshold: going down from
 the body, each node whose density reaches it contributes the subtree of
 greatest density sum in it. Elements that are no article whatever their density
-(scripts, styles, menus, headers of the page, footers, sidebars, notices,
-adverts, forms and comments, by tag, role or class) are left out beforehand.
+(scripts, styles, menus, headers of the page, footers, sidebars by tag, hidden
+ones) are left out beforehand. A class, id or role that names a menu, notice,
+advert, comment or the like is a hint, and so is a form: the element is left
+out too, unless it encloses the centre found with all hints ignored and no
+article or main element beside it has text. Such a form loses its controls and
+labels only. A class hints by its whole name, or if all its parts are hints
+(cookie-notice, but not has-sidebar).
 
 Text is decoded, white space inside a block becomes one blank, blocks are
 trimmed and joined in page order by one blank.
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 # Names in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("script style noscript template head nav footer aside form button select textarea iframe object svg canvas dialog menu".split())
+LEFT_OUT = frozenset("script style noscript template head nav footer aside button select textarea iframe object svg canvas dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget related share sharing social cookie cookies consent notice popup modal newsletter subscribe comment comments respond disqus login search pagination pager".split())
 #: Opening one of these ends an open element of the set beside it, up to the stop elements.
@@ -44,9 +49,10 @@ _PARTS = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "parent", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "flat", "own")
+    __slots__ = ("tag", "children", "parent", "out", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "flat", "own", "hint")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool = False):
+    def __init__(self, tag: str, parent: Node | None, out: bool = False, hint: bool = False):
+        self.hint = hint
         self.tag, self.parent, self.out, self.children = tag, parent, out, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -76,8 +82,9 @@ class _Reader(HTMLParser):
         if tag in _SIBLINGS:
             for _ in range(2):
                 self._close(*_SIBLINGS[tag])
-        out = tag in LEFT_OUT or tag == "header" and not self._within("article") or any(_left_out(k, v) for k, v in attrs if v)
-        node = Node(tag, self.at, out)
+        out = tag in LEFT_OUT or tag == "header" and not self._within("article") or any(_hidden(k, v) for k, v in attrs)
+        hint = tag == "form" or tag == "label" and self._within("form") or any(_hinted(k, v) for k, v in attrs if v)
+        node = Node(tag, self.at, out, hint)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -101,11 +108,14 @@ class _Reader(HTMLParser):
         return node is not None
 
 
-def _left_out(name: str, value: str) -> bool:
-    value = value.lower()
+def _hidden(name: str, value: str | None) -> bool:
+    return name == "hidden" and bool(value) or name == "aria-hidden" and (value or "").lower() == "true"
+
+
+def _hinted(name: str, value: str) -> bool:
     if name in ("class", "id"):
-        return any(part in HINTS for part in _PARTS.split(value))
-    return name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true"
+        return any(all(part in HINTS for part in _PARTS.split(token) if part) for token in value.lower().split() if _PARTS.sub("", token))
+    return name == "role" and value.lower() in ROLES
 
 
 def read_page(html: str) -> Node:
@@ -134,6 +144,7 @@ def measure(root: Node) -> None:
     nodes = _walk(root)
     for node in reversed(nodes):
         own = [0, 0, 0]
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
         node.flat = node.tag in INLINE
         for child in node.children:
             if isinstance(child, str):
@@ -168,8 +179,39 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / max(1, tags) * max(0.0, math.log(links)) / math.log(base)
 
 
+def _apply_hints(root: Node) -> None:
+    """Leave hinted elements out, except those that enclose the centre."""
+    nodes = _walk(root)
+    if not any(node.hint for node in nodes):
+        return
+    measure(root)
+    path, node = set(), root.best
+    while node is not None:
+        path.add(node)
+        node = node.parent
+    beside = [n for n in nodes if n.tag in ("article", "main") and n not in path and n.chars and not _under_hint(n, path)]
+    for node in nodes:
+        if node.hint:
+            node.out = node not in path or node.tag != "form" and any(not _holds(node, n) for n in beside)
+
+
+def _under_hint(node: Node | None, path: set) -> bool:
+    while node is not None:
+        if node.hint and node not in path:
+            return True
+        node = node.parent
+    return False
+
+
+def _holds(node: Node, inner: Node | None) -> bool:
+    while inner is not None and inner is not node:
+        inner = inner.parent
+    return inner is node
+
+
 def content(root: Node) -> list[Node]:
     """The subtrees that hold the main text, in page order."""
+    _apply_hints(root)
     measure(root)
     centre = root.best
     threshold, node = centre.density, centre
