@@ -1,25 +1,31 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-The gear hash h = 2h + G[byte] modulo 2^32 sees the last 32 bytes. Every window
-of ``MIN_BYTES`` bytes has one place where that hash is least (the first of
-equal ones), so chunks end at places that depend on the window's bytes alone,
-in stretches of one repeated word too. Adjoining windows with one place form a
-block. Blocks are deduplicated by digest: where all blocks of a place are equal,
-their windows are; where they differ, each kind of block tells the digests of
-its windows once, and those are compared.
-
-A window that another document has too is repeated; windows that touch form a
-span. So every stretch of ``MIN_BYTES`` or more that some other document has as
-one piece is in a span, and nothing else is. At its two ends a stretch is
-narrowed to whole words (to whole characters, where a word is longer than
-``GRAM`` bytes). The document with the least id keeps a window, the others lose
-it.
-
-Defined results: null text counts as empty; rows with one id count as one
-document, and rows without an id as none; an empty table gives no rows; what
-repeats only within one document stays.
-Digests have 64 bits and bytes are not compared: among 10^12 blocks or windows
-about 3 * 10^4 pairs of different ones meet.
+Cuts. The gear hash h = 2h + G[byte] modulo 2^16 sees the last ``GRAM`` bytes. A
+place is a cut if its hash is the least (the first of equal ones) of some
+window of ``WINDOW`` places of its text. Word beginnings go before other
+places, and no cut is inside a character. So cuts depend on nearby bytes alone:
+an insertion moves them, but does not change which there are. In a stretch that
+repeats itself every few bytes only every so many equal cuts stay. The
+beginning and the end of a text are cuts too.
+
+Chunks. A chunk goes from a cut to the first cut at least ``MIN_BYTES`` further
+on, and the last one from the last such cut to the end; chunks overlap, so that
+it does not matter where a passage begins. They are deduplicated by digest: a
+chunk that another row has too is repeated, and chunks that touch form a span.
+What is flagged is therefore always ``MIN_BYTES`` or more that one other row
+has in one piece. A passage of ``GRAM + 2 * WINDOW + MIN_BYTES`` bytes or more
+is always found, up to ``GRAM + WINDOW`` bytes at its beginning and ``WINDOW``
+at its end (``WINDOW`` more at both where a few bytes repeat); shorter ones of
+``MIN_BYTES`` or more are found if cuts permit.
+
+The row with the least doc_id keeps a chunk (null ids last; of one id the row
+read first), the others lose it. Rows are told apart by numbers of our own,
+never by doc_id, so rows that share an id or have none lose their own repeats only.
+
+Defined results: null text counts as empty; what repeats only within one row
+stays; of repeated rows one keeps its text; an empty table gives no rows.
+Digests have 64 bits and bytes are not compared: among 10^12 chunks about
+3 * 10^4 pairs of different ones meet.
 """
 
 from __future__ import annotations
@@ -29,287 +35,227 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, packed, text_of, unpacked, written
 
-MEAN, LEAST, MOST = 24, 8, 4096
-#: A passage of 50 words loses the chunks at both of its ends; repeated single lines stay below.
-MIN_BYTES = 100
-
-#: Bytes that the gear hash of a place sees, and bytes hashed at once.
-GRAM, PIECE = 32, 1 << 20
-_BLANK = frozenset(b" \t\n\v\f\r")
+#: Bytes that the gear hash sees, places of a window, and the least bytes of a chunk.
+GRAM, WINDOW, MIN_BYTES = 16, 48, 100
+#: Bytes that are hashed at once.
+PIECE = 1 << 20
+#: Orders null ids last.
+_LAST = (1 << 63) - 1
 
 GEAR = np.random.default_rng(2024).integers(0, 1 << 16, 256, dtype=np.uint16)
-_GEAR32 = np.random.default_rng(2025).integers(0, 1 << 32, 256, dtype=np.uint32)
 _TABLE = np.random.default_rng(2026).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BASE = 0x5851F42D4C957F2D
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, base, np.uint64)]))
 
 
-def _power(n: int) -> np.uint64:
-    return np.uint64(pow(0x5851F42D4C957F2D, n, 1 << 64))
+_UP, _DOWN = _powers(_BASE, PIECE), _powers(pow(_BASE, -1, 1 << 64), PIECE)
 
 
-def chunk_ends(data: bytes) -> np.ndarray:
-    """Ends of the chunks of UTF-8 ``data``, never inside a character."""
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
-        return np.empty(0, np.int64)
+def _lowest(b: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts by windows in the joined texts ``b``, and their order keys; no window reaches from one text into another."""
+    windows = np.maximum(0, sizes - GRAM - WINDOW + 1)
+    if not windows.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     h = GEAR[b]
     for span in (1, 2, 4, 8):  # the hash over the last 2 * span bytes from that over span bytes
         h[span:] = h[span:] + (h[:-span] << np.uint16(span))
-    at = np.flatnonzero(h < (1 << 16) // MEAN) + 1
-    at = at[at < len(b)]
-    at = at[(b[at] & 0xC0) != 0x80]
-    if len(at) > 1:
-        at = at[np.concatenate([[True], np.diff(at) > LEAST])]
-    ends = np.concatenate([at, [len(b)]])
-    if (np.diff(ends, prepend=0) > MOST).any():
-        parts, start = [], 0
-        for end in ends.tolist():
-            while end - start > MOST:
-                start += MOST
-                while start < end and (b[start] & 0xC0) == 0x80:
-                    start += 1
-                parts.append(start)
-            parts.append(end)
-            start = end
-        ends = np.unique(np.array(parts))
-    return ends
-
-
-def _sums(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit polynomial hashes of every ``GRAM`` and of every ``MIN_BYTES`` bytes."""
-    at = {1: _TABLE[b]}
-    for span in (1, 2, 4, 8, 16, 32):
-        at[2 * span] = at[span][:-span] * _power(span) + at[span][span:]
-    n = max(0, len(b) - MIN_BYTES + 1)
-    return at[32], at[64][:n] * _power(36) + at[32][64 : 64 + n] * _power(4) + at[4][96 : 96 + n]
-
+    blank = _BLANK[b]
+    key = h[:-1].astype(np.uint64)  # of the place before byte i + 1
+    key |= np.where(blank[:-1] & ~blank[1:], np.uint64(0), np.uint64(1 << 16))
+    key |= np.where((b[1:] & 0xC0) == 0x80, np.uint64(1 << 17), np.uint64(0))
+    key = (key << np.uint64(40)) | np.arange(1, len(b), dtype=np.uint64)
+    least = key
+    for span in (1, 2, 4, 8, 16, WINDOW - 32):
+        least = np.minimum(least[:-span], least[span:])
+    first = np.repeat(begin + GRAM - 1 - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    found = least[first]
+    found = found[np.concatenate([[True], found[1:] != found[:-1]])]
+    return (found & np.uint64((1 << 40) - 1)).astype(np.int64), found >> np.uint64(40)
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(29))).view(np.int64)
 
+def _thinned(at: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Of cuts with equal hashes at equal small distances, as a repeated word gives, the first and then one in every window."""
+    gap = np.diff(at, prepend=-GRAM - 1)
+    same = np.concatenate([[False], key[1:] == key[:-1]]) & (gap <= GRAM)
+    same[1:] &= ~same[:-1] | (gap[1:] == gap[:-1])
+    index = np.arange(len(at))
+    rank = index - np.maximum.accumulate(np.where(same, 0, index))
+    return at[rank % np.maximum(1, WINDOW // gap) == 0]
 
-def blocks(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Blocks of all ``texts``: (text, first window, last window, place digest, block digest), as arrays.
 
-    A block is a run of windows of ``MIN_BYTES`` bytes that have their least gear hash at one place.
-    """
-    b = np.frombuffer(b"".join(texts), np.uint8)
-    n = len(b) - MIN_BYTES + 1
+def cuts(texts: list[bytes]) -> list[np.ndarray]:
+    """The cuts of each text, from 0 to its length."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    begin = np.cumsum(sizes) - sizes
-    whole = np.maximum(0, sizes - MIN_BYTES + 1)
-    if not whole.any():
-        return tuple(np.empty(0, np.int64) for _ in range(5))
-    g = _GEAR32[b]
-    for span in (1, 2, 4, 8, 16):
-        g[span:] = g[span:] + (g[:-span] << np.uint32(span))
-    g = g * np.uint32(0x9E3779B1)  # else neighbouring hashes, one twice the other, fall together
-    g ^= g >> np.uint32(15)
-    least = (g[GRAM - 1 :].astype(np.uint64) << np.uint64(32)) | np.arange(len(b) - GRAM + 1, dtype=np.uint64)
-    for span in (1, 2, 4, 8, 16, 32, MIN_BYTES - GRAM + 1 - 64):
-        least = np.minimum(least[:-span], least[span:])
-    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), whole)
-    start = np.arange(len(text)) - np.repeat(np.cumsum(whole) - whole, whole) + begin[text]  # windows inside one text
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (place[start[1:]] != place[start[:-1]])])
-    i = np.flatnonzero(new)
-    first, last = start[i], start[np.concatenate([i[1:], [len(start)]]) - 1]
-    grams, windows = _sums(b)
-    return text[i], first - begin[text[i]], last - begin[text[i]], _mixed(grams[place[first]]), _digest(windows, first, last)
-
-
-def _digest(windows: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of the bytes from the first window to the end of the last: the two cover all of them."""
-    return _mixed(windows[first] * np.uint64(0x9E3779B97F4A7C15) + _mixed(windows[last]).view(np.uint64) + (last - first).astype(np.uint64))
-
-
-def _pieces(texts: Iterator[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
-    """Lists of (text, offset, bytes) of about ``PIECE`` bytes; long texts are cut so that each window is in one piece."""
-    some, size = [], 0
-    for i, data in enumerate(texts):
-        for at in range(0, max(1, len(data) - MIN_BYTES + 1), PIECE):
-            part = data[at : at + PIECE + MIN_BYTES - 1]
-            some.append((i, at, part))
-            size += len(part)
-            if size >= PIECE:
-                yield some
-                some, size = [], 0
-    if some:
-        yield some
-
-
-def _inside(data: bytes, start: int, end: int) -> tuple[int, int]:
-    """The whole characters between two places."""
-    while start < end and data[start] & 0xC0 == 0x80:
-        start += 1
-    while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
-        end -= 1
-    return start, end
+    if len(texts) == 1 and sizes[0] > PIECE:
+        parts = [_lowest(np.frombuffer(texts[0], np.uint8, min(PIECE + GRAM + WINDOW - 1, sizes[0] - o), o), np.zeros(1, np.int64), np.array([min(PIECE + GRAM + WINDOW - 1, sizes[0] - o)])) for o in range(0, sizes[0], PIECE)]
+        at = np.concatenate([a + o for (a, _), o in zip(parts, range(0, sizes[0], PIECE))])
+        key = np.concatenate([k for _, k in parts])
+        new = np.diff(at, prepend=-1) > 0
+        at, key = at[new], key[new]
+    else:
+        at, key = _lowest(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    ends = np.cumsum(sizes)
+    out = []
+    for begin, end, i, k in zip(ends - sizes, ends, np.searchsorted(at, ends - sizes), np.searchsorted(at, ends)):
+        here = _thinned(at[i:k] - begin, key[i:k]) if k > i else at[i:k]
+        out.append(np.concatenate([[0], here, [end - begin]]))
+    return out
 
 
-def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [t.as_py().encode() for t in batch.column(2)]
-        for some in _pieces(texts):
-            if not (found := blocks([d for _, _, d in some]))[0].size:
-                continue
-            text = np.array([i for i, _, _ in some])[found[0]]
-            offset = np.array([at for _, at, _ in some])[found[0]]
-            first, last = found[1] + offset, found[2] + offset
-            low, high = first.copy(), last + MIN_BYTES
-            for k in np.flatnonzero(np.array([not t.isascii() for t in texts])[text]).tolist():
-                low[k], high[k] = _inside(texts[text[k]], int(first[k]), int(last[k]) + MIN_BYTES)
-            rows = pa.array(text)
-            arrays = [batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(a) for a in (found[3], found[4], first, last, low, high))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "version", "place", "block", "first", "last", "low", "high"])
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The windows of blocks: (block, whole characters' start and end from the first window, digest, least and greatest document)."""
-    for batch in batches:
-        for text, wanted in zip(batch["text"], batch["wanted"]):
-            data = text.encode()
-            unlike = list({r["block"]: r for r in wanted}.values())
-            for some in (unlike[i : i + 5000] for i in range(0, len(unlike), 5000)):
-                parts = [data[r["first"] : r["last"] + MIN_BYTES] for r in some]
-                digests = _mixed(_sums(np.frombuffer(b"".join(parts), np.uint8))[1])
-                counts = np.array([r["last"] - r["first"] + 1 for r in some])
-                begin = np.cumsum(counts + MIN_BYTES - 1) - counts - MIN_BYTES + 1
-                k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-                low, high = k.copy(), k + MIN_BYTES
-                if not data.isascii():
-                    first = np.repeat([r["first"] for r in some], counts)
-                    ends = np.array([_inside(data, f, f + MIN_BYTES) for f in (first + k).tolist()])
-                    low, high = ends[:, 0] - first, ends[:, 1] - first
-                told = {name: np.repeat(np.array([r[name] for r in some], np.int64), counts) for name in ("block", "least", "most")}
-                yield pd.DataFrame({"block": told["block"], "low": low, "high": high, "digest": digests[np.repeat(begin, counts) + k], "least": told["least"], "most": told["most"]})
-
-
-def _join(pieces: list[tuple[int, int, int]]) -> list[list[int]]:
-    """Pieces of one keeper that touch, as one."""
-    out: list[list[int]] = []
-    for keeper, start, end in sorted((k, s, e) for s, e, k in pieces):
-        if out and out[-1][2] == keeper and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], end)
-        else:
-            out.append([start, end, keeper])
+def _hashes(data: bytes, places: np.ndarray) -> np.ndarray:
+    """Polynomial hashes modulo 2^64 of the bytes before each of the ascending ``places``."""
+    out, before, scale = np.empty(len(places), np.uint64), 0, 1
+    for o in range(0, max(1, len(data)), PIECE):
+        b = np.frombuffer(data, np.uint8, min(PIECE, len(data) - o), o)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[b] * _UP[: len(b)])])
+        i, k = np.searchsorted(places, [o, o + len(b) + 1])
+        out[i:k] = np.uint64(before) + np.uint64(scale) * sums[places[i:k] - o]
+        before = (before + scale * int(sums[-1])) % (1 << 64)
+        scale = scale * pow(_BASE, len(b), 1 << 64) % (1 << 64)
     return out
 
 
-def _word_edges(data: bytes, start: int, end: int) -> tuple[int, int]:
-    """``start`` and ``end`` moved inwards past blanks and parts of words; they stay where a word is longer than ``GRAM``."""
-    for s in range(start, min(start + GRAM + 1, end)):
-        if data[s] not in _BLANK and (s == 0 or data[s - 1] in _BLANK):
-            start = s
-            break
-    for e in range(end, max(end - GRAM - 1, start), -1):
-        if data[e - 1] not in _BLANK and (e == len(data) or data[e] in _BLANK):
-            end = e
-            break
-    return start, end
+def _shift_back(places: np.ndarray) -> np.ndarray:
+    """The base to the power of minus each place."""
+    rounds, rest = np.divmod(places, PIECE)
+    back = pow(_BASE, -PIECE, 1 << 64)
+    return _DOWN[rest] * np.array([pow(back, k, 1 << 64) for k in range(int(rounds.max(initial=0)) + 1)], np.uint64)[rounds]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(29))).view(np.int64)
+
+
+def chunk_spans(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the first and last cut of each chunk."""
+    size = places[-1]
+    first = np.flatnonzero(places + MIN_BYTES <= size)
+    last = np.searchsorted(places, places[first] + MIN_BYTES)
+    if len(first) and last[-1] < len(places) - 1:
+        first, last = np.append(first, first[-1]), np.append(last, len(places) - 1)
+    return first, last
+
+
+def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, digest) of the chunks of each text, as arrays."""
+    found = cuts(texts)
+    data, out = b"".join(texts), []
+    begin = np.cumsum([0, *map(len, texts)])
+    every = np.concatenate([p + o for p, o in zip(found, begin)])
+    sums, back = _hashes(data, every), _shift_back(every)
+    row = 0
+    for places in found:
+        h, d = sums[row : row + len(places)], back[row : row + len(places)]
+        row += len(places)
+        first, last = chunk_spans(places)
+        digest = _mixed((h[last] - h[first]) * d[first] + (places[last] - places[first]).astype(np.uint64))
+        out.append((places[first], places[last], digest))
+    return out
+
 
+def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(some, texts):
+        start, end, digest = zip(*chunks(texts))
+        arrays = [pa.array(list(column), pa.list_(pa.int64())) for column in (digest, start, [e - s for s, e in zip(start, end)])]
+        picked = batch.take(pa.array(some))
+        return pa.RecordBatch.from_arrays([picked.column(0), picked.column(1), *arrays], ["row", "doc", "digests", "starts", "sizes"])
 
-def _merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spans, cut into pieces by the least document that keeps them."""
     for batch in batches:
-        out = []
-        for text, rows in zip(batch["text"], batch["pieces"]):
-            data = text.encode()
-            opened: dict[int, list[int]] = {}
-            closed: dict[int, list[int]] = {}
-            for start, end, keeper in _join([(r["start"], r["end"], r["first"]) for r in rows]):
-                start, end = _word_edges(data, start, end)
-                opened.setdefault(start, []).append(keeper)
-                closed.setdefault(end, []).append(keeper)
-            spans, live, cuts = [], set(), sorted(opened.keys() | closed.keys())
-            for start, end in zip(cuts, cuts[1:]):
-                live = live.difference(closed.get(start, ())).union(opened.get(start, ()))
-                if not live:
-                    continue
-                if not spans or spans[-1]["end"] != start:
-                    spans.append({"start": start, "end": end, "chunks": []})
-                span, keeper = spans[-1], min(live)
-                span["end"] = end
-                if span["chunks"] and span["chunks"][-1]["first"] == keeper:
-                    span["chunks"][-1]["end"] = end
-                else:
-                    span["chunks"].append({"start": start, "end": end, "first": keeper})
-            out.append(spans)
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "version": batch["version"], "spans": out})
-
-
-_PART = "struct<start:bigint,end:bigint,first:bigint>"
-
-
-def repeated(docs: DataFrame) -> DataFrame:
-    """One row a text with repeated spans: doc_id, version (of the text), spans (start, end in UTF-8 bytes, and the pieces with the document that keeps them)."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text")).filter("doc_id is not null")
-    rows = written(texts.mapInArrow(_chunk, "doc_id bigint, version bigint, place bigint, block bigint, first bigint, last bigint, low bigint, high bigint"), "chunks")
-    places = rows.groupBy("place").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("m"), (F.min("block") < F.max("block")).alias("open"))
-    # Written, so that the joins deal both sides anew and AQE may split a digest that very many documents have.
-    places = broadcast_if_small(written(places.filter("keeper < m").select(F.col("place").alias("p"), "keeper", "open"), "chunks-places"))
-    hits = written(rows.join(places, F.col("place") == F.col("p")).drop("place", "p"), "chunk-hits")
-
-    one_each = texts.dropDuplicates(["doc_id", "version"])
-    # Where texts agree at a place but not in all its windows, each kind of block tells its windows once.
-    kinds = hits.filter("open").groupBy("block").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).withColumnRenamed("block", "b")
-    kinds = broadcast_if_small(written(kinds, "chunk-kinds"))
-    wanted = hits.filter("open").join(kinds, (F.col("block") == F.col("b")) & (F.col("doc_id") == F.col("least")))
-    wanted = wanted.groupBy("doc_id", "version").agg(F.collect_list(F.struct("block", "first", "last", "least", "most")).alias("wanted"))
-    asked = wanted.join(one_each, ["doc_id", "version"]).select("text", "wanted")
-    windows = written(asked.mapInPandas(_windows, "block bigint, low int, high int, digest bigint, least bigint, most bigint"), "chunk-windows")
-    common = windows.groupBy("digest").agg(F.min("least").alias("keeper"), F.max("most").alias("m")).filter("keeper < m").select(F.col("digest").alias("d"), "keeper")
-    common = written(common, "chunk-common")
-    parts = windows.join(common, F.col("digest") == F.col("d")).groupBy("block").agg(F.collect_list(F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("keeper").alias("first"))).alias("parts"))
-    joined = F.pandas_udf(lambda column: pd.Series([[{"start": s, "end": e, "first": k} for s, e, k in _join([(r["start"], r["end"], r["first"]) for r in rs])] for rs in column]), f"array<{_PART}>")
-    parts = written(parts.select(F.col("block").alias("b"), joined("parts").alias("parts")), "chunk-parts")
-    partly = hits.filter("open").join(parts, F.col("block") == F.col("b")).select("doc_id", "version", "first", F.explode("parts").alias("x"))
-    partly = partly.select("doc_id", "version", F.struct((F.col("first") + F.col("x.start")).alias("start"), (F.col("first") + F.col("x.end")).alias("end"), F.col("x.first").alias("first")).alias("piece"))
-    fully = hits.filter("not open").select("doc_id", "version", F.struct(F.col("low").alias("start"), F.col("high").alias("end"), F.col("keeper").alias("first")).alias("piece"))
-    found = fully.unionByName(partly).groupBy("doc_id", "version").agg(F.collect_list("piece").alias("pieces"))
-    found = found.join(one_each, ["doc_id", "version"])
-    return written(found.mapInPandas(_merge, f"doc_id bigint, version bigint, spans array<struct<start:bigint,end:bigint,chunks:array<{_PART}>>>").filter(F.size("spans") > 0), "chunk-spans")
+        some, texts, size = [], [], 0
+        for i in range(batch.num_rows):
+            data = batch.column(2)[i].as_py().encode()
+            if some and size + len(data) > PIECE:
+                yield rows(some, texts)
+                some, texts, size = [], [], 0
+            some.append(i)
+            texts.append(data)
+            size += len(data)
+        if some:
+            yield rows(some, texts)
+
+
+def chunk_table(rows: DataFrame) -> DataFrame:
+    """One written row for each of ``rows`` (row, doc, text): row, doc, and its chunks' digests, starts and sizes."""
+    return written(rows.mapInArrow(_chunk, "row bigint, doc bigint, digests array<bigint>, starts array<bigint>, sizes array<bigint>"), "chunks")
+
+
+def repeated(table: DataFrame) -> DataFrame:
+    """The repeated chunks in the rows of a chunk table: row, start, end, keeper (its doc), lost (whether this row loses it)."""
+    told = table.select("row", "doc", F.explode("digests").alias("digest")).groupBy("digest")
+    shared = told.agg(F.min("doc").alias("keeper"), F.min("row").alias("r"), F.max("row").alias("m")).filter("r < m").select(F.col("digest").alias("d"), "keeper")
+    # Written, so that the join deals both sides anew and AQE may split a digest that very many rows have.
+    shared = broadcast_if_small(written(shared, "chunks-shared"))
+    each = table.select("row", "doc", F.explode(F.arrays_zip("digests", "starts", "sizes")).alias("c"))
+    each = each.select("row", "doc", F.col("c.digests").alias("digest"), F.col("c.starts").alias("start"), (F.col("c.starts") + F.col("c.sizes")).alias("end"))
+    hits = written(each.join(shared, F.col("digest") == F.col("d")).drop("d"), "chunk-hits")
+    again = table.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc").alias("again"))
+    lost = F.col("doc") != F.col("keeper")
+    if (again := written(again, "chunk-ids")).isEmpty():
+        return hits.withColumn("lost", lost)
+    # Rows that share an id (or have none): of those with the keeper's id, the row read first keeps the chunk.
+    owner = hits.filter(~lost).join(broadcast_if_small(again), F.col("doc") == F.col("again")).groupBy("digest").agg(F.min("row").alias("owner")).withColumnRenamed("digest", "d")
+    return hits.join(broadcast_if_small(written(owner, "chunk-owners")), F.col("digest") == F.col("d"), "left").withColumn("lost", lost | F.coalesce(F.col("row") != F.col("owner"), F.lit(False)))
+
+
+def _united(chunks: DataFrame) -> DataFrame:
+    """Spans (array of start, end) of each row: its chunks, those that touch made one."""
+    by_place = Window.partitionBy("row").orderBy("start", "end")
+    reach = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.coalesce(F.col("start") > reach, F.lit(True)), 1).otherwise(0)
+    numbered = chunks.select("row", "start", "end", new.alias("new")).withColumn("span", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = numbered.groupBy("row", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+
+
+def _doc(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(_LAST))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, repeated, n_spans, repeated_bytes, removed_bytes, spans as text, first_doc_ids."""
-    found = repeated(docs).withColumnsRenamed({"doc_id": "rid", "version": "rv"})
-    parts = F.flatten(F.transform("spans", lambda s: s["chunks"]))
+    """One row a document: doc_id, repeated, n_spans, repeated_bytes, removed_bytes, spans as text (UTF-8 bytes), first_doc_ids (the documents that keep its chunks)."""
+    table = chunk_table(docs.select(F.monotonically_increasing_id().alias("row"), _doc().alias("doc"), text_of().alias("text")))
+    hits = written(repeated(table), "chunk-repeated")
+    firsts = hits.groupBy("row", "keeper").agg(F.min("start").alias("start")).groupBy("row").agg(F.array_sort(F.collect_list(F.when(F.col("keeper") < _LAST, F.col("keeper")))).alias("firsts"))
+    spans = _united(hits).join(firsts, "row").join(_united(hits.filter("lost")).withColumnRenamed("spans", "gone"), "row", "left").withColumnRenamed("row", "r")
     length = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["start"])
-    told = found.select(
-        "rid", "rv", F.size("spans").cast("bigint").alias("n"), length(F.col("spans")).alias("all"), length(F.filter(parts, lambda c: c["first"] != F.col("rid"))).alias("gone"),
-        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias("text"),
-        F.array_sort(F.array_distinct(F.transform(parts, lambda c: c["first"]))).alias("firsts"),
-    )
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text_of()).alias("v")).join(told, (F.col("doc_id") == F.col("rid")) & (F.col("v") == F.col("rv")), "left")
     zero = F.lit(0).cast("bigint")
-    return ids.select(
-        "doc_id", F.col("n").isNotNull().alias("repeated"), F.coalesce("n", zero).alias("n_spans"), F.coalesce("all", zero).alias("repeated_bytes"), F.coalesce("gone", zero).alias("removed_bytes"),
-        F.coalesce("text", F.lit("")).alias("spans"), F.coalesce("firsts", F.array().cast("array<bigint>")).alias("first_doc_ids"),
+    rows = table.select("row", "doc").join(written(spans, "chunk-spans"), F.col("row") == F.col("r"), "left")
+    return rows.select(
+        F.when(F.col("doc") < _LAST, F.col("doc")).alias("doc_id"), F.col("spans").isNotNull().alias("repeated"), F.coalesce(F.size("spans").cast("bigint"), zero).alias("n_spans"),
+        F.coalesce(length(F.col("spans")), zero).alias("repeated_bytes"), F.coalesce(length(F.col("gone")), zero).alias("removed_bytes"),
+        F.coalesce(F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","), F.lit("")).alias("spans"),
+        F.coalesce("firsts", F.array().cast("array<bigint>")).alias("first_doc_ids"),
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated spans cut out of all but the documents that keep them."""
-    found = repeated(docs).select(F.col("doc_id").alias("rid"), F.col("version").alias("rv"), F.filter(F.flatten(F.transform("spans", lambda s: s["chunks"])), lambda c: c["first"] != F.col("doc_id")).alias("gone"))
+    """``docs`` with the chunks cut out that other rows keep."""
+    rows = written(packed(docs, _row=F.monotonically_increasing_id()), "chunk-docs")
+    table = chunk_table(rows.select(F.col("_row").alias("row"), _doc("row.doc_id").alias("doc"), text_of("row.text").alias("text")))
+    gone = _united(repeated(table).filter("lost")).select(F.col("row").alias("r"), F.col("spans").alias("gone"))
 
     @F.pandas_udf("string")
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
-        def one(t, cuts):
-            if t is None or cuts is None or not len(cuts):
+        def one(t, spans):
+            if t is None or spans is None or not len(spans):
                 return t
             data, out, at = t.encode(), [], 0
-            for c in sorted(cuts, key=lambda c: c["start"]):
-                out.append(data[at : c["start"]])
-                at = c["end"]
+            for s in spans:
+                out.append(data[at : s["start"]])
+                at = s["end"]
             return b"".join([*out, data[at:]]).decode()
 
         return pd.Series([one(t, g) for t, g in zip(text, gone)])
 
-    rows = packed(docs, id=F.col("doc_id").cast("bigint"), v=F.xxhash64(text_of())).join(found, (F.col("id") == F.col("rid")) & (F.col("v") == F.col("rv")), "left")
-    return unpacked(rows.withColumn("row", F.col("row").withField("text", without(F.col("row.text").cast("string"), F.col("gone")))), docs)
+    found = rows.join(written(gone, "chunk-gone"), F.col("_row") == F.col("r"), "left")
+    return unpacked(found.withColumn("row", F.col("row").withField("text", without(F.col("row.text").cast("string"), F.col("gone")))), docs)

@@ -1,69 +1,90 @@
-"""Repeated spans against brute force over all windows."""
+"""Chunk deduplication against brute force over all windows of bytes, in both directions."""
 
 import random
-import re
+
+import numpy as np
 
 from spoor.llm import chunks
 
 N = chunks.MIN_BYTES
-
-
-def by_force(docs):
-    """Repeated bytes of each document, and those it loses, from every window."""
-    where: dict[bytes, set] = {}
-    for i, t in docs:
-        for s in range(len(t) - N + 1):
-            where.setdefault(t[s : s + N], set()).add(i)
-    marked = {}
-    for i, t in docs:
-        inside: dict[int, set] = {}
-        for s in range(len(t) - N + 1):
-            if len(ids := where[t[s : s + N]]) > 1:
-                inside.setdefault(min(ids), set()).update(range(s, s + N))
-        words_at = [m.span() for m in re.finditer(rb"[^ ]+", t)]
-        for keeper, places in inside.items():
-            cut = [w for w in words_at if w[1] - w[0] <= chunks.GRAM and not places.issuperset(range(*w))]
-            places -= {k for w in cut for k in range(*w)}
-            while ends := {k for k in places if t[k : k + 1] == b" " and not {k - 1, k + 1} <= places}:
-                places -= ends
-        marked[i] = (set().union(*inside.values()), set().union(*(p for k, p in inside.items() if k != i)))
-    return marked
-
-
-def words(rng, n, vocabulary):
-    return " ".join(rng.choice(vocabulary) for _ in range(n))
-
-
-def compare(spark, texts):
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    want = by_force([(i, t.encode()) for i, t in enumerate(texts)])
-    rows = {r["doc_id"]: r for r in chunks.report(df).collect()}
-    for i, (all_, lost) in want.items():
-        got = set()
-        for a, b in (map(int, s.split(":")) for s in rows[i]["spans"].split(",") if s):
-            got.update(range(a, b))
-        assert got == all_ and rows[i]["removed_bytes"] == len(lost), i
-    after = {r["doc_id"]: r["text"] for r in chunks.deduplicated(df).collect()}
-    for i, t in enumerate(texts):
-        assert after[i].encode() == bytes(b for k, b in enumerate(t.encode()) if k not in want[i][1])
-
-
-def test_spans_are_exact(spark):
+SURE = chunks.GRAM + 2 * chunks.WINDOW + N
+
+
+def letters(rng, n):
+    return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def spans_of(row):
+    return [tuple(map(int, s.split(":"))) for s in row["spans"].split(",") if s]
+
+
+def stretches(own: bytes, others: list[bytes], least: int) -> list[tuple[int, int]]:
+    """Maximal stretches of at least ``least`` bytes that one of ``others`` has in one piece."""
+    out = []
+    for other in others:
+        seeds = {other[k : k + least] for k in range(len(other) - least + 1)}
+        s = 0
+        while s + least <= len(own):
+            if own[s : s + least] not in seeds:
+                s += 1
+                continue
+            e = s + least
+            while e < len(own) and own[s : e + 1] in other:
+                e += 1
+            out.append((s, e))
+            s += 1
+    return out
+
+
+def compare(spark, texts, ids=None, edge=chunks.WINDOW):
+    """Soundness and completeness of every span; what is cut out stays in another row."""
+    ids = ids or list(range(len(texts)))
+    df = spark.createDataFrame(list(zip(ids, texts)), "doc_id bigint, text string").coalesce(3)
+    rows = chunks.report(df).collect()
+    assert sorted(map(str, ids)) == sorted(str(r["doc_id"]) for r in rows)
+    data = [t.encode() for t in texts]
+    if len(set(ids)) == len(ids):
+        by_id = {r["doc_id"]: r for r in rows}
+        for i, own in zip(ids, data):
+            others = [d for j, d in zip(ids, data) if j != i]
+            flagged = set()
+            for s, e in spans_of(by_id[i]):
+                flagged.update(range(s, e))
+                # every byte of a span is in N bytes or more that one other text has
+                inside = set()
+                for a, b in stretches(own[s:e], others, N):
+                    inside.update(range(s + a, s + b))
+                assert inside == set(range(s, e)), i
+            for s, e in stretches(own, others, SURE):
+                assert flagged.issuperset(range(s + chunks.GRAM + edge, e - edge)), (i, s, e)
+            assert by_id[i]["repeated_bytes"] == len(flagged)
+    after = sorted((str(r["doc_id"]), r["text"]) for r in chunks.deduplicated(df).collect())
+    kept = [t.encode() for _, t in after]
+    for own in data:  # nothing that was cut is gone altogether
+        for s in range(0, len(own) - 23):
+            gram = own[s : s + 24]
+            if b" " not in gram and gram not in b"\0".join(kept):
+                raise AssertionError(gram)
+    assert len(after) == len(texts)
+    return rows, after
+
+
+def test_spans_against_brute_force(spark):
     rng = random.Random(11)
-    fresh = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
-    phrases = [words(rng, 7, fresh) for _ in range(40)]  # about 45 bytes, shared by many in other orders: no repeat of 100 bytes
-    runs = [words(rng, n, fresh)[: N + k] for n, k in ((60, 0), (60, 1), (60, 30), (60, 60), (80, 150))]
-    texts = [" ".join(rng.sample(phrases, 12)) for _ in range(10)]
+    runs = [letters(rng, 90)[: SURE + k] for k in (0, 1, 30, 150)] + [letters(rng, 60)[: N + k] for k in (0, 40)]
+    texts = [letters(rng, 100) for _ in range(8)]
     for run in runs:
-        texts += [f"{words(rng, rng.randrange(40), fresh)} {run} {words(rng, 20, fresh)}" for _ in range(3)]
-    texts += [runs[4][:130] + words(rng, 30, fresh), words(rng, 30, fresh) + runs[4][60:], runs[4][:N] + runs[3][:N]]
-    compare(spark, texts)
+        texts += [f"{letters(rng, rng.randrange(40))} {run} {letters(rng, 20)}" for _ in range(3)]
+    texts += [runs[3][:200] + letters(rng, 30), letters(rng, 30) + runs[3][60:]]
+    rows, _ = compare(spark, texts)
+    found = {r["doc_id"]: r for r in rows}
+    assert not any(found[i]["repeated"] for i in range(8))
+    assert all(found[i]["repeated"] for i in range(8, 20)) and found[8]["removed_bytes"] == 0 < found[9]["removed_bytes"] and found[9]["first_doc_ids"] == [8]
 
 
 def test_short_repeats_in_other_orders_are_left_alone(spark):
     rng = random.Random(12)
-    fresh = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
-    phrases = [words(rng, 7, fresh) for _ in range(60)]
+    phrases = [letters(rng, 7) for _ in range(60)]
     apart, seen = [], set()
     for _ in range(300):
         order = rng.sample(phrases, 10)
@@ -76,22 +97,48 @@ def test_short_repeats_in_other_orders_are_left_alone(spark):
 
 def test_one_word_repeated(spark):
     rng = random.Random(13)
-    compare(spark, ["word " * 55, "start " + "word " * 55 + "end", "word " * 19, "".join(rng.choice("abc") for _ in range(300)), "a" * 400, "b" + "a" * 150, "ab" * 60])
+    texts = ["word " * 155, "start " + "word " * 155 + "end", "word " * 19, "".join(rng.choice("abc") for _ in range(300)), "a" * 800, "b" + "a" * 450, "ab" * 160]
+    rows, _ = compare(spark, texts, edge=2 * chunks.WINDOW)
+    found = {r["doc_id"]: r["repeated"] for r in rows}
+    assert [found[i] for i in range(7)] == [True, True, False, False, True, True, False]
+    assert len(chunks.chunks([b"a" * 100_000])[0][0]) < 100_000 / chunks.WINDOW + 3  # few chunks where one byte repeats
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    rng = random.Random(15)
+    run, own, other = letters(rng, 100), letters(rng, 100), letters(rng, 100)
+    rows = [(7, own), (7, other), (7, f"{letters(rng, 20)} {run}"), (None, run), (None, run), (3, f"{run} {letters(rng, 20)}"), (7, own)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    told = chunks.report(df).collect()
+    flags = sorted((r["doc_id"] or 0, r["repeated"], r["removed_bytes"] > 0) for r in told)
+    assert flags == [(0, True, True), (0, True, True), (3, True, False), (7, False, False), (7, True, False), (7, True, True), (7, True, True)]
+    after = sorted((r["doc_id"] or 0, r["text"]) for r in chunks.deduplicated(df).collect())
+    texts = [t for _, t in after]
+    assert texts.count(own) == 1 and texts.count("") == 3 and other in texts and rows[5][1] in texts  # one of the two equal rows keeps its text
 
 
-def test_whole_characters_and_one_id(spark):
-    run = "漢字é" * 40
-    df = spark.createDataFrame([(1, "x" + run + "y"), (2, "zz" + run), (2, "other words of the same id " + "漢字é" * 10), (None, run), (3, "字é" + "漢字é" * 39 + "漢")], "doc_id bigint, text string")
-    texts = sorted((r["doc_id"] or 0, r["text"]) for r in chunks.deduplicated(df).collect())
-    assert (1, "x" + run + "y") in texts and (2, "zz") in texts and (0, run) in texts and (3, "") in texts
+def test_whole_characters(spark):
+    run = "漢字é" * 60
+    compare(spark, ["x" + run + "y", "zz" + run, "字é" + "漢字é" * 59 + "漢", "other words"], edge=2 * chunks.WINDOW)
 
 
-def test_long_texts_in_pieces(spark, monkeypatch):
+def test_long_texts_in_pieces(monkeypatch):
     rng = random.Random(14)
-    monkeypatch.setattr(chunks, "PIECE", 150)
-    text = "".join(rng.choice("abcdefgh ") for _ in range(1000)).encode()
-    seen = []
-    for some in chunks._pieces(iter([text, b"", text[500:]])):
-        found = chunks.blocks([d for _, _, d in some])
-        seen += [(some[t][0], some[t][1] + w) for t, a, z in zip(*found[:3]) for w in range(a, z + 1)]
-    assert sorted(seen) == [(0, w) for w in range(901)] + [(2, w) for w in range(401)]
+    text = ("".join(rng.choice("abcdefgh ") for _ in range(9000)) + "漢字é" * 300 + "a" * 3000).encode()
+    whole = chunks.chunks([text])[0]
+    alone = chunks.chunks([b"", text, text[500:], b"x"])
+    monkeypatch.setattr(chunks, "PIECE", 1 << 10)
+    for a, b, c in zip(whole, chunks.chunks([text])[0], alone[1]):
+        assert np.array_equal(a, b) and np.array_equal(a, c)
+    assert set(alone[2][2].tolist()) & set(whole[2].tolist()) and not alone[0][0].size and not alone[3][0].size
+
+
+def test_cuts_by_force():
+    rng = random.Random(16)
+    text = letters(rng, 300).encode()
+    h, key = 0, {}
+    for i, byte in enumerate(text[:-1]):
+        h = (2 * h + int(chunks.GEAR[byte])) & 0xFFFF
+        key[i + 1] = (not (text[i : i + 1] == b" " and text[i + 1 : i + 2] != b" "), h, i + 1)
+    want = {min((key[p] for p in range(s, s + chunks.WINDOW)))[2] for s in range(chunks.GRAM, len(text) - chunks.WINDOW + 1)}
+    assert chunks.cuts([text])[0].tolist() == [0, *sorted(want), len(text)]
