@@ -8,15 +8,18 @@ is at least ``threshold``.
 1. One pass turns each text into a digest of its words, its set (64-bit hashes)
    and ``N_HASHES`` MinHash values. Equal word sequences become one
    representative with a count, so copies are never paired with one another.
-2. Bands of MinHash values give candidates. Within a band value, members point
-   to its least representative; connected components of those pointers hold
-   every pair that shares a band (a pair at 0.8 shares none with probability
-   about 5e-7).
-3. A component is cut into blocks by a hash of the representative, and every
-   pair of blocks is one task group: no group grows with the component. In it,
-   pairs that share a band are compared ``STEP`` MinHash values at a time and
-   dropped as soon as the posterior probability of reaching the threshold falls
-   below ``TOLERANCE``; the rest are verified exactly on the sets. The group
+2. Bands of MinHash values give candidates (a pair at 0.8 shares none with
+   probability about 5e-7). The least member of a band value is its root; the
+   least root of a member is its home. A pair with one home is compared in that
+   home's group, any other pair in the group of the root of its first shared
+   band. A member is sent to its home and to the roots of the band values whose
+   members differ in home, so groups are about one document's likes: long chains
+   of likes make many small groups, not a large one.
+3. A large group is cut into blocks by a hash of the member, and every pair of
+   blocks of it is one task group: none grows with the group. In it, pairs that
+   share a band are compared ``STEP`` MinHash values at a time and dropped as
+   soon as the posterior probability of reaching the threshold falls below
+   ``TOLERANCE``; the rest are verified exactly on the sets. The task group
    returns link counts for its members and a spanning forest of the links, not
    the pairs.
 4. Components of the forests are the classes. A document's links are those of
@@ -29,6 +32,7 @@ another; repeated rows count as copies; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from math import comb
 
@@ -50,8 +54,9 @@ STEP = 36
 TOLERANCE = 1e-6
 #: Stands for a null doc_id.
 _NULL_ID = -(1 << 62)
-#: Members and words of a block; a group has at most about twice as many.
+#: Members and words of a block; a task group has at most about twice as many.
 BLOCK, BLOCK_WORDS = 384, 2_000_000
+_PLACES = "array<struct<target:bigint,low:int,high:int,block:int>>"
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 1 << 31, N_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADDENDS = np.random.default_rng(8).integers(0, 1 << 32, N_HASHES, dtype=np.uint64).astype(np.uint32)
@@ -125,23 +130,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, texts in _texts(batch):
             bands = band_values(np.array([minhash(shingle_set(w, ids)) for w in texts])).view(np.int64)
-            columns = [part.column(0), pa.array([_digest(w) for w in texts], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([len(w) for w in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "bands", "words"])
+            columns = [*part.columns[:2], pa.array([_digest(w) for w in texts], pa.binary()), pa.array(list(bands), pa.list_(pa.int64())), pa.array([len(w) for w in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "version", "digest", "bands", "words"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """MinHash values and sets of the texts that are what their representative's digest says."""
+    """MinHash values and sets of the texts, beside their other columns."""
     ids = _WordIds()
     for batch in batches:
         for part, texts in _texts(batch):
-            sig, grams, right = [], [], []
-            for words, digest in zip(texts, part.column("digest").to_pylist()):
-                right.append(_digest(words) == digest)
-                hashes = shingle_set(words, ids) if right[-1] else np.zeros(1, np.uint64)
-                sig.append(minhash(hashes).tobytes())
-                grams.append(hashes.tobytes())
-            kept = part.select(["node", "copies", "component", "blocks", "block"])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sig, pa.binary()), pa.array(grams, pa.binary())], [*kept.schema.names, "sig", "grams"]).filter(pa.array(right))
+            grams = [shingle_set(words, ids) for words in texts]
+            made = [pa.array([minhash(g).tobytes() for g in grams], pa.binary()), pa.array([g.tobytes() for g in grams], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], [*part.schema.names[:-1], "sig", "grams"])
 
 
 @lru_cache(maxsize=8)
@@ -159,16 +159,28 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def linked_pairs(sig: np.ndarray, grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row number in ``left``: it and the numbers in ``right`` above it in order that are linked to it."""
-    sizes = np.array([len(g) for g in grams])
-    bands, least = band_values(sig), least_matches(threshold, tolerance)
+@dataclass
+class Members:
+    """The rows of a task group as arrays: MinHash values, sets, homes, and each band's root."""
+
+    sig: np.ndarray
+    grams: list[np.ndarray]
+    home: np.ndarray
+    roots: np.ndarray
+
+
+def linked_pairs(group: Members, left: np.ndarray, right: np.ndarray, target: int, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row number in ``left``: it and the numbers in ``right`` above it in order that are linked to it, of the pairs that are ``target``'s to compare."""
+    sizes = np.array([len(g) for g in group.grams])
+    sig, bands, least = group.sig, band_values(group.sig), least_matches(threshold, tolerance)
     for i in left:
         other = right if left is not right else right[right > i]
         low, high = np.minimum(sizes[i], sizes[other]), np.maximum(sizes[i], sizes[other])
         other = other[low >= threshold * high]  # no pair of such sizes can reach the threshold otherwise
         if len(other):
-            other = other[(bands[other] == bands[i]).any(axis=1)]
+            shared = bands[other] == bands[i]
+            ours = np.where(group.home[other] == group.home[i], group.home[i] == target, group.roots[i][shared.argmax(axis=1)] == target)
+            other = other[shared.any(axis=1) & ours]
         matches = np.zeros(len(other), int)
         for k, needed in enumerate(least):
             if not len(other):
@@ -178,16 +190,16 @@ def linked_pairs(sig: np.ndarray, grams: list[np.ndarray], left: np.ndarray, rig
             stays = matches >= needed
             other, matches = other[stays], matches[stays]
         if len(other):
-            yield i, other[[_jaccard(grams[i], grams[j]) >= threshold for j in other]]
+            yield i, other[[_jaccard(group.grams[i], group.grams[j]) >= threshold for j in other]]
 
 
 def _block_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Links within a block or between two blocks of a component: copies linked to each member, and a spanning forest."""
-    _, low, high = key
-    group = group.drop_duplicates("node").sort_values("node", ignore_index=True)  # repeated rows bring their set again
+    """Links within a block or between two blocks of a group: copies linked to each member, and a spanning forest."""
+    target, low, high = key
+    group = group.sort_values("node", ignore_index=True)
     node, copies, block = group["node"].to_numpy(), group["copies"].to_numpy(), group["block"].to_numpy()
     sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(-1, N_HASHES)
-    grams = [np.frombuffer(g, np.uint64) for g in group["grams"]]
+    members = Members(sig, [np.frombuffer(g, np.uint64) for g in group["grams"]], group["home"].to_numpy(), np.array(group["roots"].tolist()))
     left = np.flatnonzero(block == low)
     right = left if low == high else np.flatnonzero(block == high)
     links, parent = np.zeros(len(node), np.int64), np.arange(len(node))
@@ -197,7 +209,7 @@ def _block_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, others in linked_pairs(sig, grams, left, right):
+    for i, others in linked_pairs(members, left, right, target):
         if len(others):
             links[i] += copies[others].sum()
             links[others] += copies[i]
@@ -207,32 +219,48 @@ def _block_pair(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "links": links, "linked_to": node[[root(i) for i in range(len(node))]]})[links > 0]
 
 
+def _placed(groups: DataFrame) -> DataFrame:
+    """One row for each member of a shared band value: node, home, roots by band (-1 where it shares none), places (target, low, high, block)."""
+    bands = groups.select("node", F.posexplode("bands").alias("k", "band"))
+    roots = bands.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
+    shared = written(join_by_key(bands, roots, "band"), "jaccard-shared")
+    shared = written(join_by_key(shared, shared.groupBy("node").agg(F.min("root").alias("home")), "node"), "jaccard-homes")
+    mixed = shared.groupBy("band").agg((F.min("home") < F.max("home")).alias("mixed"))
+    shared = join_by_key(shared, mixed, "band")
+    by_band = F.map_from_entries(F.collect_list(F.struct("k", "root")))
+    members = shared.groupBy("node").agg(F.first("home").alias("home"), by_band.alias("by_band"), F.collect_set(F.when(F.col("mixed"), F.col("root"))).alias("more"))
+    root = F.transform(F.sequence(F.lit(0), F.lit(N_HASHES // BAND_ROWS - 1)), lambda k: F.coalesce(F.col("by_band")[k], F.lit(-1).cast("bigint")))
+    members = written(members.select("node", "home", root.alias("roots"), F.array_union(F.array("home"), "more").alias("targets")).join(groups.select("node", "words"), "node"), "jaccard-members")
+
+    each = members.select("node", "words", F.explode("targets").alias("target"))
+    blocks = each.groupBy("target").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    each = join_by_key(each, blocks, "target").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct("target", F.least("block", b).alias("low"), F.greatest("block", b).alias("high"), "block"))
+    places = each.groupBy("node").agg(F.flatten(F.collect_list(pairs)).alias("places"))
+    return members.select("node", "home", "roots").join(places, "node")
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, digest, rep (the least id of its copies), copies, class_id (the least id of its class), links."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), text_of().alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id bigint, digest binary, bands array<bigint>, words bigint"), "jaccard-signed")
-    groups = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.max("words").alias("words"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
+    signed = written(texts.mapInArrow(_sign, "doc_id bigint, version bigint, digest binary, bands array<bigint>, words bigint"), "jaccard-signed")
+    groups = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("version", "doc_id").alias("version"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.max("words").alias("words"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "jaccard-groups")
 
-    bands = groups.select("node", F.explode("bands").alias("band"))
-    least = bands.groupBy("band").agg(F.min("node").alias("root"), F.max("node").alias("last")).filter("root < last").drop("last")
-    edges = join_by_key(bands, least, "band").filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).distinct()
-    component = connected_components(written(edges, "jaccard-candidates"), lambda df, k: written(df, f"jaccard-components-{k}"))
-
-    known = written(component.join(groups.select("node", "rep", "digest", "copies", "words"), "node"), "jaccard-members")
-    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("words") / BLOCK_WORDS)).cast("int")
-    placed = join_by_key(known, known.groupBy("component").agg(blocks.alias("blocks")), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = written(placed.drop("words"), "jaccard-placed")
-    members = texts.join(broadcast_if_small(placed), F.col("rep") == F.col("doc_id")).select("node", "copies", "component", "blocks", "block", "digest", "text")
-    members = members.mapInArrow(_sets, "node bigint, copies bigint, component bigint, blocks int, block int, sig binary, grams binary")
-    members = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "with")).withColumn("high", F.greatest("block", "with"))
-    found = written(members.groupBy("component", "low", "high").applyInPandas(_block_pair, "node bigint, links bigint, linked_to bigint"), "jaccard-links")
+    placed = written(_placed(groups).join(groups.select("node", "rep", F.col("version").alias("v"), "copies"), "node"), "jaccard-placed")
+    same = (F.col("rep") == F.col("doc_id")) & (F.col("v") == F.col("version"))
+    # Rows with one id and one text have one representative: one of the texts is enough.
+    members = texts.join(broadcast_if_small(placed.select("node", "rep", "v")), same).groupBy("node").agg(F.first("text").alias("text"))
+    members = join_by_key(placed.drop("rep", "v"), members, "node").select("node", "copies", "home", "roots", "places", "text")
+    members = members.mapInArrow(_sets, f"node bigint, copies bigint, home bigint, roots array<bigint>, places {_PLACES}, sig binary, grams binary")
+    members = members.withColumn("place", F.explode("places")).select("node", "copies", "home", "roots", "sig", "grams", "place.*")
+    found = written(members.groupBy("target", "low", "high").applyInPandas(_block_pair, "node bigint, links bigint, linked_to bigint"), "jaccard-links")
 
     forest = found.filter("node <> linked_to").select(F.col("node").alias("a"), F.col("linked_to").alias("b")).distinct()
     joined = connected_components(written(forest, "jaccard-forest"), lambda df, k: written(df, f"jaccard-classes-{k}")).join(groups.select("node", "rep"), "node")
     named = joined.join(joined.groupBy("component").agg(F.min("rep").alias("class_id")), "component").select("node", "class_id")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    told = groups.drop("bands", "words").join(named, "node", "left").join(links, "node", "left")
+    told = groups.drop("bands", "words", "version").join(named, "node", "left").join(links, "node", "left")
     told = told.select("digest", "rep", "copies", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     as_id = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c)).alias(c)
     return signed.select("doc_id", "digest").join(told, "digest").select(as_id("doc_id"), "digest", as_id("rep"), "copies", as_id("class_id"), "links")

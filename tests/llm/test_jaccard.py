@@ -1,7 +1,10 @@
 import random
-from collections import Counter
+from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from spoor.llm import jaccard
 
@@ -51,6 +54,39 @@ def test_links_and_classes_by_force(spark, monkeypatch):
     assert got == {i: (cls[i], links[i]) for i in range(len(rows))}
 
 
+def test_chain_of_likes(spark, monkeypatch):
+    rng = random.Random(6)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2200)]
+    rows = [(i, " ".join(words[6 * i : 6 * i + 120])) for i in range(340)]  # each is like the two before and after it, all are one class
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["class_id"], r["links"]) for r in jaccard.classes(df).collect()}
+    cls, links = by_force(rows)
+    assert got == {i: (cls[i], links[i]) for i in range(len(rows))} and set(cls) == {0}
+    signed = df.withColumn("version", F.lit(0).cast("bigint")).select("doc_id", "version", "text").mapInArrow(jaccard._sign, "doc_id bigint, version bigint, digest binary, bands array<bigint>, words bigint")
+    placed = jaccard._placed(signed.withColumnRenamed("doc_id", "node").drop("version", "digest"))
+    sizes = [r["n"] for r in placed.select(F.explode("places.target").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert max(sizes) < 40 and sum(sizes) < 40 * len(rows)  # groups are local, none holds the chain
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no given tables")
+def test_given_documents_by_inverted_index(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    sets, holders, common = {}, defaultdict(list), Counter()
+    for i, t in texts:
+        sets[i] = gram_set(t)
+        for g in sets[i]:
+            holders[g].append(i)
+    for ids in holders.values():
+        common.update((a, b) for k, a in enumerate(ids) for b in ids[:k])
+    links = Counter()
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links.update((a, b))
+    assert {r["doc_id"]: r["links"] for r in jaccard.classes(docs).collect()} == {i: links[i] for i, _ in texts} and sum(links.values())
+
+
 def test_odd_rows(odd_docs, texts):
     rows = jaccard.classes(odd_docs).collect()
     _, links = by_force(texts)
