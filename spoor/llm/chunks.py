@@ -14,9 +14,9 @@ it does not matter where a passage begins. They are deduplicated by digest: a
 chunk that another row has too is repeated, and chunks that touch form a span.
 What is flagged is therefore always ``MIN_BYTES`` or more that one other row
 has in one piece. A passage of ``GRAM + 2 * WINDOW + MIN_BYTES`` bytes or more
-is always found, up to ``GRAM + WINDOW`` bytes at its beginning and ``WINDOW``
-at its end (``WINDOW`` more at both where a few bytes repeat); shorter ones of
-``MIN_BYTES`` or more are found if cuts permit.
+is always found, less up to ``GRAM + WINDOW`` bytes at its beginning and twice
+``WINDOW`` at its end (``WINDOW`` more at both where a few bytes repeat);
+shorter ones of ``MIN_BYTES`` or more are found if cuts permit.
 
 The row with the least doc_id keeps a chunk (null ids last; of one id the row
 read first), the others lose it. Rows are told apart by numbers of our own,
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, packed, text_of, unpacked, written
 
-#: Bytes that the gear hash sees, places of a window, and the least bytes of a chunk.
-GRAM, WINDOW, MIN_BYTES = 16, 48, 100
+#: Bytes that the gear hash sees, places of a window, and the least bytes of a chunk: about 50 words with what the edges may lose.
+GRAM, WINDOW, MIN_BYTES = 16, 40, 200
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
 #: Orders null ids last.

@@ -56,7 +56,7 @@ def compare(spark, texts, ids=None, edge=chunks.WINDOW):
                     inside.update(range(s + a, s + b))
                 assert inside == set(range(s, e)), i
             for s, e in stretches(own, others, SURE):
-                assert flagged.issuperset(range(s + chunks.GRAM + edge, e - edge)), (i, s, e)
+                assert flagged.issuperset(range(s + chunks.GRAM + edge, e - edge - chunks.WINDOW)), (i, s, e)
             assert by_id[i]["repeated_bytes"] == len(flagged)
     after = sorted((str(r["doc_id"]), r["text"]) for r in chunks.deduplicated(df).collect())
     kept = [t.encode() for _, t in after]
