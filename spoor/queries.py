@@ -471,12 +471,13 @@ def greedy_tracks(spark, sf_dir):
     return greedy.greedy_track(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), metric="distance", node_threshold=0.2)
 
 
+TRACKING = objective.SolveParameters(track_cost=1.0, weight_edge_score=0.2, weight_node_score=-0.5, selection_constant=-0.8)
+
+
 @query(None)
 def ilp_tracks(spark, sf_dir):
-    """The exact forest of the candidate graph at a radius that keeps its components small."""
-    nodes = tables.cells(spark, sf_dir)
-    near = spatial.candidate_edges(nodes, 6.0, use_motion=False)
-    return rounded(solve.solve(nodes, near, {1: objective.SolveParameters(track_cost=1.0, weight_edge_score=0.2, weight_node_score=-0.5, selection_constant=-0.8)}, most_steps=20_000), "cost")
+    """The optimal forest of the whole candidate graph."""
+    return rounded(solve.solve(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), {1: TRACKING}).drop("component"), "cost")
 
 
 # ---- parameters and results ----------------------------------------------
