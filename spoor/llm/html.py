@@ -8,13 +8,17 @@ densities of its children. The node of greatest sum is the content's centre,
 and the least density on its path to the body is the threshold: going down from
 the body, each node whose density reaches it contributes the subtree of
 greatest density sum in it. Elements that are no article whatever their density
-(scripts, styles, menus, headers of the page, footers, sidebars by tag, hidden
-ones) are left out beforehand. A class, id or role that names a menu, notice,
-advert, comment or the like is a hint, and so is a form: the element is left
-out too, unless it encloses the centre found with all hints ignored and no
-article or main element beside it has text. Such a form loses its controls and
-labels only. A class hints by its whole name, or if all its parts are hints
-(cookie-notice, but not has-sidebar).
+(scripts, styles, menus, headers of the page, footers, sidebars by tag or ARIA
+role, hidden ones) are not read at all.
+
+Names come after densities. A class or id that names a menu, notice, advert,
+comment or the like is a hint, and so is a form: within what the densities
+choose such an element is left out, unless it encloses the centre. Where a hint
+encloses the centre although an article or main element beside it has text
+(comments longer than the article), it is left out and the densities are taken
+anew. A form around the centre loses its controls and labels only. A class
+hints by its whole name, or if all its parts are hints (cookie-notice, but not
+has-sidebar).
 
 Text is decoded, white space inside a block becomes one blank, blocks are
 trimmed and joined in page order by one blank.
@@ -39,7 +43,8 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 LEFT_OUT = frozenset("script style noscript template head nav footer aside button select textarea iframe object svg canvas dialog menu".split())
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
+HINT_ROLES = frozenset({"form"})
 HINTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs header footer sidebar aside widget related share sharing social cookie cookies consent notice popup modal newsletter subscribe comment comments respond disqus login search pagination pager".split())
 #: Opening one of these ends an open element of the set beside it, up to the stop elements.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -61,17 +66,26 @@ class Node:
 
 
 class _Reader(HTMLParser):
+    """Builds the tree; ``where`` holds the places of open tags on the stack, so that no tag walks up the tree."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("body", None)
+        self.root = Node("body", None)
+        self.stack, self.where = [self.root], {}
+
+    def _top(self, names) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
 
     def _close(self, names, stops=frozenset()):
-        node = self.at
-        while node is not self.root and node.tag not in stops:
-            if node.tag in names:
-                self.at = node.parent
-                return
-            node = node.parent
+        """Close the innermost open element of ``names``, unless one of ``stops`` is inside it."""
+        at = self._top(names)
+        if at and at > self._top(stops):
+            for node in self.stack[at:]:
+                self.where[node.tag].pop()
+            del self.stack[at:]
+
+    def _within(self, *tags: str) -> bool:
+        return any(self.where.get(tag) for tag in tags)
 
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body"):
@@ -82,40 +96,38 @@ class _Reader(HTMLParser):
         if tag in _SIBLINGS:
             for _ in range(2):
                 self._close(*_SIBLINGS[tag])
-        out = tag in LEFT_OUT or tag == "header" and not self._within("article") or any(_hidden(k, v) for k, v in attrs)
+        out = tag in LEFT_OUT or tag == "header" and not self._within("article", "main", "section") or any(_unseen(k, v) for k, v in attrs)
         hint = tag == "form" or tag == "label" and self._within("form") or any(_hinted(k, v) for k, v in attrs if v)
-        node = Node(tag, self.at, out, hint)
-        self.at.children.append(node)
+        node = Node(tag, self.stack[-1], out, hint)
+        self.stack[-1].children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.where.setdefault(tag, []).append(len(self.stack))
+            self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        depth = len(self.stack)
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and self.at.tag == tag and not tag == "body":
-            self.at = self.at.parent or self.root
+        if tag not in VOID and len(self.stack) >= depth and self.stack[-1].tag == tag and len(self.stack) > 1:
+            self.where[tag].pop()
+            self.stack.pop()
 
     def handle_endtag(self, tag):
         if tag not in ("html", "body"):
             self._close({tag})
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.stack[-1].children.append(data)
 
-    def _within(self, tag: str) -> bool:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node is not None
 
-
-def _hidden(name: str, value: str | None) -> bool:
-    return name == "hidden" and bool(value) or name == "aria-hidden" and (value or "").lower() == "true"
+def _unseen(name: str, value: str | None) -> bool:
+    """Hidden, or a part of the page that its ARIA role tells apart."""
+    return name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "role" and (value or "").lower() in ROLES
 
 
 def _hinted(name: str, value: str) -> bool:
     if name in ("class", "id"):
         return any(all(part in HINTS for part in _PARTS.split(token) if part) for token in value.lower().split() if _PARTS.sub("", token))
-    return name == "role" and value.lower() in ROLES
+    return name == "role" and value.lower() in HINT_ROLES
 
 
 def read_page(html: str) -> Node:
@@ -179,59 +191,59 @@ def _density(chars: int, tags: int, link_chars: int, link_tags: int, share: floa
     return chars / max(1, tags) * max(0.0, math.log(links)) / math.log(base)
 
 
-def _apply_hints(root: Node) -> None:
-    """Leave hinted elements out, except those that enclose the centre."""
-    nodes = _walk(root)
-    if not any(node.hint for node in nodes):
-        return
-    measure(root)
-    path, node = set(), root.best
-    while node is not None:
-        path.add(node)
-        node = node.parent
-    beside = [n for n in nodes if n.tag in ("article", "main") and n not in path and n.chars and not _under_hint(n, path)]
-    for node in nodes:
-        if node.hint:
-            node.out = node not in path or node.tag != "form" and any(not _holds(node, n) for n in beside)
-
-
-def _under_hint(node: Node | None, path: set) -> bool:
-    while node is not None:
-        if node.hint and node not in path:
-            return True
-        node = node.parent
-    return False
+def _path(node: Node) -> list[Node]:
+    """The node and what encloses it."""
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
 
 
-def _holds(node: Node, inner: Node | None) -> bool:
-    while inner is not None and inner is not node:
-        inner = inner.parent
-    return inner is node
+def _misled(root: Node) -> list[Node]:
+    """Hinted elements around the centre that leave text of an article or main element beside them."""
+    path = _path(root.best)
+    if not any(node.hint and node.tag != "form" for node in path):
+        return []
+    on_path, under = set(path), {root: False}
+    nodes, inside = _walk(root), {}
+    for node in nodes[1:]:
+        under[node] = under[node.parent] or node.hint and node not in on_path
+    for node in reversed(nodes):  # articles with text in each subtree
+        own = node.tag in ("article", "main") and node not in on_path and node.chars > 0 and not under[node]
+        inside[node] = own + sum(inside[c] for c in node.children if isinstance(c, Node) and not c.out)
+    return [node for node in path if node.hint and node.tag != "form" and inside[node] < inside[root]]
 
 
-def content(root: Node) -> list[Node]:
-    """The subtrees that hold the main text, in page order."""
-    _apply_hints(root)
-    measure(root)
+def _dense(root: Node) -> list[Node]:
+    """The subtrees that the densities choose, in page order."""
     centre = root.best
-    threshold, node = centre.density, centre
-    while node is not root:
-        node = node.parent
-        if node is not root:
-            threshold = min(threshold, node.density)
     if centre is root:
         return [root]
+    threshold = min(node.density for node in _path(centre)[:-1])
     found, todo = [], [root]
     while todo:
         node = todo.pop()
-        inner = [c for c in node.children if isinstance(c, Node) and not c.out and not c.flat]
         if node is not root and node.chars and node.density >= threshold:
             found.append(node.best)
         else:
-            todo.extend(reversed(inner))
+            todo.extend(reversed([c for c in node.children if isinstance(c, Node) and not c.out and not c.flat]))
     return found
 
 
+def content(root: Node) -> list[Node]:
+    """The subtrees that hold the main text, in page order."""
+    measure(root)
+    while misled := _misled(root):
+        for node in misled:
+            node.out = True
+        measure(root)
+    found, around = _dense(root), set(_path(root.best))
+    for top in found:
+        for node in _walk(top):
+            node.out = node.hint and node not in around
+    return [node for node in found if not node.out]
+
+
 def text_of_nodes(nodes: list[Node]) -> str:
     """Blocks of the subtrees, white space inside a block made one blank, joined by one blank."""
     blocks: list[list[str]] = [[]]
