@@ -2,8 +2,10 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,12 +17,68 @@ from spoor.llm import chunks, fingerprint, html, licenses, toxicity
 
 def test_grammar_weighs_what_stands_around():
     lexicon = toxicity.Lexicon({"fool": 2.0, "grub*": 1.0})
-    score = lambda t: sum(toxicity.clause_scores(t, lexicon)[0])
+    score = lambda t: sum(s for s, _ in toxicity.clause_scores(t, lexicon)[0])
     assert score("a fool") == 2.0 and score("nothing here") == 0.0 and score("grubling") == 1.0
     assert score("you fool") > score("a fool") > score("not a fool") and score("he said a fool") < score("he is a fool")
     assert score("the foot was hurt") == 0.0 and score("I will hurt you") > 0 == score("they walk; I hurt")
 
 
+def test_composition_by_force():
+    """The automaton against a reading of the clause that looks back from each word."""
+    rng = random.Random(2)
+    machines = {m.symbol: m for m in toxicity.MACHINES}
+    for _ in range(300):
+        symbols = [rng.choice("IHTNROO") for _ in range(rng.randrange(1, 15))]
+        state, got = toxicity.GRAMMAR.start, []
+        for x in symbols:
+            state, factor, active = toxicity.GRAMMAR.step(state, x)
+            got.append((round(factor, 9), active))
+        want = []
+        for i, x in enumerate(symbols):
+            on = tuple(m.symbol in symbols[max(0, i - m.words) : i] for m in toxicity.GRAMMAR.contexts)
+            factor = machines[x].factor if x in "IH" else 0.0
+            for m, yes in zip(toxicity.GRAMMAR.contexts, on):
+                factor *= m.factor if yes else 1.0
+            want.append((round(factor, 9), on))
+        assert got == want
+
+
+def clause_texts(n, seed, often=()):
+    """Texts whose label depends on what stands around: insults and threats at someone are toxic, negated, quoted or aimless ones are not."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("lmnoprst") for _ in range(5))
+    bad = ["zorgling", "quibbart", "fropnik"]
+    kinds = {
+        "insult": (lambda: f"{word()} is {rng.choice(bad)} {word()}", 1), "threat": (lambda: f"I will {rng.choice(['hurt', 'kill', 'beat'])} you", 1), "negated": (lambda: f"{word()} is not a {rng.choice(bad)}", 0),
+        "quoted": (lambda: f"{word()} said {word()} is {rng.choice(bad)}", 0), "untargeted": (lambda: f"{word()} would {rng.choice(['hurt', 'kill', 'beat'])} {word()}", 0), "clean": (lambda: rng.choice(["I will meet you", f"you are {word()}", f"{word()} is {word()}"]), 0),
+        "weak": (lambda: f"{word()} is grubble {word()}", 0), "aimed": (lambda: f"you are grubble {word()}", 1),
+    }
+    rows = []
+    for i in range(n):
+        kind = rng.choice([*kinds, *often])
+        clause, toxic = kinds[kind]
+        rows.append((i, ". ".join([f"{word()} {word()} {word()}", clause(), f"{word()} {word()}"]), toxic, kind))
+    return [r[:3] for r in rows]
+
+
+def test_each_machine_changes_predictions(spark):
+    rows = clause_texts(5000, 4, ["clean"] * 48 + ["untargeted"] * 8 + ["insult"] * 11 + ["aimed"] * 6 + ["threat"] * 3 + ["weak"] * 2)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    fresh = clause_texts(400, 5)
+    texts, y = [r[1] for r in fresh], np.array([r[2] for r in fresh])
+    right = lambda grammar: ((toxicity.fit(docs, labels, grammar=grammar).score(texts) >= 0.5) == y).mean()
+    whole = right(toxicity.GRAMMAR)
+    assert whole > 0.95
+    model = toxicity.fit(docs, labels)
+    for machine in toxicity.MACHINES:
+        less = toxicity.Grammar(*[m for m in toxicity.MACHINES if m is not machine])
+        taken_out = toxicity.Model(model.lexicon, model.mean, model.scale, model.coef, less)
+        changed = ((taken_out.score(texts) >= 0.5) != (model.score(texts) >= 0.5)).mean()
+        assert changed > 0.02, machine.name
+        assert right(less) < whole - 0.02, machine.name  # and learning anew without it does not make up for it
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     rng = random.Random(3)
