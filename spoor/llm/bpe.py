@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -62,14 +62,14 @@ def decode_ids(enc, ids: np.ndarray) -> bytes:
 
 
 def _per_row(make: Callable, fields: list[tuple[str, pa.DataType]]):
-    """An Arrow map that keeps ``doc_id`` and turns the second column into ``fields``, row by row within the task."""
+    """An Arrow map that keeps ``doc_id`` and what follows the second column, which it turns into ``fields``, row by row within the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
                 rows = [make(x.as_py()) for x in part.column(1)]
                 columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *[n for n, _ in fields]])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns, *part.columns[2:]], ["doc_id", *[n for n, _ in fields], *part.schema.names[2:]])
 
     return run
 
@@ -88,15 +88,16 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     )
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, chunk_chars: int = 1 << 16) -> DataFrame:
-    """Encode every text, decode its ids, and return digests of both in one pass over the table."""
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, chunk_chars: int = 1 << 16, position: Column | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode every text, decode its ids, and return digests of both in one pass over the table; with a training ``position`` and the ids themselves if asked."""
 
     def digests(text: str):
         enc = encoding(rank_file, pattern)
         ids = encode_text(enc, text, chunk_chars)
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode_ids(enc, ids)).hexdigest()
+        told = len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decode_ids(enc, ids)).hexdigest()
+        return (*told, ids.astype("int32")) if keep_ids else told
 
-    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        _per_row(digests, fields), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    )
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + ([("ids", pa.list_(pa.int32()))] if keep_ids else [])
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if keep_ids else "") + ("" if position is None else ", position bigint")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"), *([] if position is None else [position.alias("position")]))
+    return rows.mapInArrow(_per_row(digests, fields), schema)

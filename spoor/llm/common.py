@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """A new path below ``spark.checkpoint.dir``; a folder of our own only where that is unset and driver and executors are one process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark.sparkContext, "_spoor_work_dir", None)
         if base is None:
             base = "file://" + tempfile.mkdtemp(prefix="spoor-")

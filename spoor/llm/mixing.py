@@ -113,11 +113,14 @@ def _by_rank(demand: Column, schedules) -> Column:
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: whole documents, once for each take of at least half of their words, by training position."""
-    plan = mix(docs, **how).select(
-        F.col("doc_id").alias("mid"), F.col("content").alias("mcontent"),
-        F.filter(F.transform(F.arrays_zip("takes", "times"), lambda z: F.when(z["takes"] * 2 >= F.col("size"), z["times"])), lambda t: t.isNotNull()).alias("at"),
-    ).filter(F.size("at") > 0)
+    """The mix itself: documents in order of training position, whole, once for each of their takes.
+
+    A source's last take, which may be a part of a document in the plan, is the
+    whole document here, so a source can exceed its target by less than one
+    document; none is repeated more often than planned. Partitions are ranges of
+    positions and sorted, so the order of files and rows is the training order.
+    """
+    plan = mix(docs, **how).select(F.col("doc_id").alias("mid"), F.col("content").alias("mcontent"), F.filter("times", lambda t: t.isNotNull()).alias("at")).filter(F.size("at") > 0)
     # Repeated rows (one id and text) each have takes of their own; the copies of one row stand for all.
     plan = written(plan.groupBy("mid", "mcontent").agg(F.flatten(F.collect_list("at")).alias("at"), F.count(F.lit(1)).alias("times")), "mix-plan")
     rows = packed(docs, rid=F.col("doc_id").cast("bigint"), rcontent=F.xxhash64(text_of()))
