@@ -4,7 +4,8 @@ The rows' digests, identifiers and content locators form an arrival log. A
 Structured Streaming aggregation keyed by digest reads the log in bounded
 micro-batches; its state lives in RocksDB, is checkpointed to the shared folder
 and never expires. Per digest the state retains how many rows arrived, the
-largest identifier and the locator of that row's content. The final state is
+largest identifier and the locator of that row's content: a digest of its
+file's path and its row number in the file, by which ``content`` fetches it. The final state is
 read back as a table. Hits (digests with more than one row) are then compared
 by their full bytes: all texts of a digest are equal if and only if the least
 and the greatest are. A digest whose texts differ is regrouped by the text
@@ -17,6 +18,7 @@ repeated rows with that id exactly one stays; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,19 +58,37 @@ def keyed_state(log_path: str, schema, spark, checkpoint: str, max_bytes_per_tri
     return kept.select(F.col("key.digest").alias("digest"), F.expr(n_rows).alias("n_rows"), F.expr(keep).alias("keep"))
 
 
+def file_place(docs: DataFrame) -> Column:
+    """Where a row's content is: a digest of its file's path and its row number in the file; null where ``docs`` does not come from files."""
+    place = F.concat_ws(":", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string"))
+    try:
+        docs.select(place)
+    except AnalysisException:
+        return F.lit(None).cast("string")
+    return place
+
+
+def content(docs: DataFrame, located: DataFrame, locator: Column | None = None) -> DataFrame:
+    """(locator, text) of the rows of ``docs`` that the locators of ``located`` (keep_locator) name."""
+    wanted = located.select(F.col("keep_locator").alias("wanted")).distinct()
+    rows = docs.select((file_place(docs) if locator is None else locator.cast("string")).alias("locator"), text_of().alias("text"))
+    return rows.join(wanted, F.col("locator") == F.col("wanted"), "left_semi")
+
+
 def groups(docs: DataFrame, digest=sha256_text, locator: Column | None = None, max_bytes_per_trigger: int = 4 << 30) -> DataFrame:
     """Every row of ``docs`` with its group: doc_id, digest, seq, keep_id, keep_seq, group_size, kept, locator.
 
     ``digest`` maps the text column to the state's key; equality never rests on
     it, as hits are checked by full bytes. ``locator`` says where a row's
-    content is; by default the row's place in the arrival log.
+    content is; by default its place in the files (null where ``docs`` does not
+    come from files).
     """
     spark = docs.sparkSession
     log = work_path(spark, "exact-log")
     text = text_of()
-    place = F.col("seq").cast("string") if locator is None else F.col("locator")
-    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(text).alias("digest"), *([] if locator is None else [locator.cast("string").alias("locator")]))
-    read = read.withColumn("seq", F.monotonically_increasing_id()).select("digest", F.struct("doc_id", "seq", place.alias("locator")).alias("entry"))
+    place = file_place(docs) if locator is None else locator.cast("string")
+    read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest(text).alias("digest"), place.alias("locator"))
+    read = read.withColumn("seq", F.monotonically_increasing_id()).select("digest", F.struct("doc_id", "seq", "locator").alias("entry"))
     read.write.parquet(log)
     arrived = spark.read.schema(read.schema).parquet(log)
     state = written(keyed_state(log, read.schema, spark, work_path(spark, "exact-state"), max_bytes_per_trigger), "exact-groups")

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def test_rows_that_stay(odd_docs, texts):
     assert sorted(r["text"] or "" for r in kept.collect()) == sorted({t for _, t in texts})
 
 
+def test_locators_fetch_content(spark, odd_docs, tmp_path):
+    odd_docs.repartition(3).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    found = exact.groups(docs)
+    texts = {r["locator"]: r["text"] for r in exact.content(docs, found).collect()}
+    rows = found.collect()
+    assert len(texts) == len({r["digest"] for r in rows})
+    assert all(hashlib.sha256(texts[r["keep_locator"]].encode()).hexdigest() == r["digest"] for r in rows)
+    hot = exact.content(docs, found.filter("group_size > 1")).collect()
+    assert {r["text"] for r in hot} == {t for t in texts.values() if sum(x["digest"] == hashlib.sha256(t.encode()).hexdigest() for x in rows) > 1}
+
+
 def test_empty(no_docs):
     assert exact.groups(no_docs).count() == 0 and exact.deduplicated(no_docs).count() == 0
 
