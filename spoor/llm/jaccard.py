@@ -67,7 +67,7 @@ class _WordIds(dict):
     """64-bit hashes of words, kept between documents up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h

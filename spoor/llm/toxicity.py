@@ -120,7 +120,7 @@ class Lexicon:
     def weight(self, word: str) -> float:
         found = self.memo.get(word)
         if found is None:
-            if len(self.memo) > 500_000:
+            if len(self.memo) > 100_000:
                 self.memo.clear()
             found = self.memo[word] = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
         return found
