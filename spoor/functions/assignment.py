@@ -2,54 +2,69 @@
 
 from __future__ import annotations
 
-import numpy as np
+from heapq import heappop, heappush
 
 
 def best_assignment(pairs: list[tuple[int, int, float]], no_match: float) -> list[tuple[int, int]]:
     """Pairs chosen so that matched costs plus ``no_match`` for every unmatched side are least.
 
-    Matching a pair saves twice ``no_match`` less its cost; each x takes a y or
-    a column of its own that saves nothing. Shortest augmenting paths with
-    potentials, one row after the other.
+    Matching a pair saves twice ``no_match`` less its cost; what saves nothing
+    is never chosen. Each x takes a y or stays alone, which saves nothing.
+    Shortest augmenting paths over the candidate lists, with prices that keep
+    reduced costs from falling below 0: memory is that of the candidates, and a
+    search ends where the first x can stay alone or a free y is reached.
     """
-    xs, ys = sorted({p[0] for p in pairs}), sorted({p[1] for p in pairs})
-    row, col = {x: i for i, x in enumerate(xs)}, {y: j for j, y in enumerate(ys)}
-    n, m = len(xs), len(ys)
-    far = 4.0 * (n + m) * (abs(no_match) + max((abs(c) for _, _, c in pairs), default=0.0) + 1.0)
-    cost = np.full((n, m + n), far)
+    saves: dict = {}
     for x, y, c in pairs:
-        cost[row[x], col[y]] = min(cost[row[x], col[y]], c - 2 * no_match)
-    cost[np.arange(n), m + np.arange(n)] = 0.0
-    owner = np.full(m + n, -1)
-    row_price, col_price = np.zeros(n), np.zeros(m + n)
-    for start in range(n):
-        reach, came, done = np.full(m + n, np.inf), np.full(m + n, -1), np.zeros(m + n, bool)
-        i, at, length = start, -1, 0.0
-        scanned = []
+        if c < 2 * no_match:
+            ways = saves.setdefault(x, {})
+            ways[y] = min(ways.get(y, 0.0), c - 2 * no_match)
+    mate: dict = {}  # y to its x
+    taken: dict = {}  # x to its y; an x that stays alone is absent
+    price_x: dict = {}
+    price_y: dict = {}
+    for start in sorted(saves):
+        price_x[start] = 0.0
+        reach: dict = {}
+        came: dict = {}
+        settled: list = []
+        done: set = set()
+        scanned: list = [(start, 0.0)]
+        heap: list = []
+        at, length = start, 0.0
         while True:
-            scanned.append((i, length))
-            slack = length + cost[i] - row_price[i] - col_price
-            better = ~done & (slack < reach)
-            reach[better], came[better] = slack[better], i
-            at = int(np.argmin(np.where(done, np.inf, reach)))
-            length = float(reach[at])
-            done[at] = True
-            if owner[at] < 0:
+            for y, w in saves[at].items():
+                far = length + w - price_x[at] - price_y.get(y, 0.0)
+                if y not in done and far < reach.get(y, float("inf")):
+                    reach[y], came[y] = far, at
+                    heappush(heap, (far, 0, y))
+            heappush(heap, (length - price_x[at], 1, at))  # to stay alone
+            length, kind, found = heappop(heap)
+            while kind == 0 and (length > reach[found] or found in done):
+                length, kind, found = heappop(heap)
+            if kind == 1 or found not in mate:
                 break
-            i = int(owner[at])
-        for i, before in scanned:
-            row_price[i] += length - before
-        inner = done & (reach < length)
-        col_price[inner] -= length - reach[inner]
-        while True:  # turn the path round
-            i = int(came[at])
-            given = np.flatnonzero(owner == i)
-            owner[at] = i
-            if i == start:
-                break
-            at = int(given[given != at][0])
-            owner[at] = -1
-    return sorted((xs[owner[j]], ys[j]) for j in range(m) if owner[j] >= 0 and cost[owner[j], j] < far / 2)
+            settled.append((found, length))
+            done.add(found)
+            at = mate[found]
+            scanned.append((at, length))
+        for x, before in scanned:
+            price_x[x] += length - before
+        for y, before in settled:
+            price_y[y] = price_y.get(y, 0.0) - (length - before)
+        # Turn the path round, from its end back to the start.
+        if kind == 1:
+            x, y = found, taken.pop(found, None)
+        else:
+            x, y = came[found], taken.get(came[found])
+            mate[found] = x
+            taken[x] = found
+        while x != start:
+            x2 = came[y]
+            y2 = taken.get(x2)
+            mate[y], taken[x2] = x2, y
+            x, y = x2, y2
+    return sorted((x, y) for x, y in taken.items())
 
 
 def total_cost(pairs: list[tuple[int, int, float]], chosen: list[tuple[int, int]], no_match: float) -> float:

@@ -12,24 +12,28 @@ from .spatial import edge_costs, node_pairs
 
 
 def assign(costs: DataFrame, no_match: float) -> DataFrame:
-    """Chosen rows (x, y, cost) of candidate pairs ``costs`` (x, y, cost), whose x and y ids are unique over all frames.
+    """Chosen rows (x, y, cost) of candidate pairs ``costs`` (x, y, cost), whose x and y, of any type, are unique over all frames.
 
-    A pair whose ends have no other candidate is matched by a comparison. The
-    rest form connected sets; each is solved by itself, which is exact because
-    sets share no candidates.
+    A pair that saves nothing against leaving both ends alone is never chosen. A
+    pair whose ends have no other candidate is chosen. The rest form connected
+    sets; each is solved by itself, which is exact because sets share no candidates.
     """
-    counted = cut(costs.withColumn("nx", F.count(F.lit(1)).over(Window.partitionBy("x"))).withColumn("ny", F.count(F.lit(1)).over(Window.partitionBy("y"))))
-    alone = counted.filter("nx = 1 and ny = 1").filter(F.col("cost") < 2.0 * no_match).select("x", "y", "cost")
-    tied = counted.filter("nx > 1 or ny > 1").select("x", "y", "cost")
-    named = tied.select(F.concat(F.lit("x"), F.col("x").cast("string")).alias("a"), F.concat(F.lit("y"), F.col("y").cast("string")).alias("b"))
-    sets = connected_components(named)
+    useful = costs.filter(F.col("cost") < 2.0 * no_match)
+    counted = cut(useful.withColumn("nx", F.count(F.lit(1)).over(Window.partitionBy("x"))).withColumn("ny", F.count(F.lit(1)).over(Window.partitionBy("y"))))
+    alone = counted.filter("nx = 1 and ny = 1").select("x", "y", "cost")
+    # Sets are named by hashes of their ends: two that fall together make one larger set, which is solved as well.
+    tied = counted.filter("nx > 1 or ny > 1").select("x", "y", "cost", F.xxhash64(F.lit("x"), "x").alias("a"), F.xxhash64(F.lit("y"), "y").alias("b"))
+    sets = connected_components(tied.select("a", "b"))
 
     def solve(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = best_assignment(list(zip(group["x"], group["y"], group["cost"])), no_match)
-        return group.merge(pd.DataFrame(chosen, columns=["x", "y"]), on=["x", "y"]).drop_duplicates(["x", "y"])[["x", "y", "cost"]]
+        least = group.sort_values("cost", kind="stable").drop_duplicates(["a", "b"]).set_index(["a", "b"])
+        return least.loc[best_assignment([(a, b, c) for (a, b), c in least["cost"].items()], no_match)].reset_index()[["row"]]
 
-    grouped = tied.join(sets, F.concat(F.lit("x"), F.col("x").cast("string")) == F.col("node"))
-    return alone.union(grouped.groupBy("component").applyInPandas(solve, tied.schema))
+    # Only names and costs go to the solver; a row's number brings its ends back.
+    numbered = cut(tied.withColumn("row", F.monotonically_increasing_id()))
+    grouped = numbered.select("a", "b", "cost", "row").join(sets, F.col("a") == F.col("node")).select("component", "a", "b", "cost", "row")
+    chosen = grouped.groupBy("component").applyInPandas(solve, "row bigint")
+    return alone.union(numbered.join(chosen, "row").select("x", "y", "cost"))
 
 
 def match_nodes(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
@@ -45,11 +49,9 @@ def candidate_edge_pairs(x, y, threshold: float) -> DataFrame:
 def match_edges(x, y, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Matches (x_source, x_target, y_source, y_target, cost) and the y edges that had a candidate but no match."""
     pairs = cut(candidate_edge_pairs(x, y, threshold))
-    # Two edges of one source differ by their target; names are (source, target) packed as strings only where a source has several.
-    key = lambda s: F.concat_ws(">", F.col(f"{s}_source"), F.col(f"{s}_target"))
+    key = lambda s: F.struct(F.col(f"{s}_source").alias("source"), F.col(f"{s}_target").alias("target"))
     chosen = assign(pairs.select(key("x").alias("x"), key("y").alias("y"), "cost"), 2.0 * threshold + 1.0)
-    end = lambda c, i: F.split(c, ">")[i].cast("bigint")
-    matches = cut(chosen.select(end("x", 0).alias("x_source"), end("x", 1).alias("x_target"), end("y", 0).alias("y_source"), end("y", 1).alias("y_target"), "cost"))
+    matches = cut(chosen.select(F.col("x.source").alias("x_source"), F.col("x.target").alias("x_target"), F.col("y.source").alias("y_source"), F.col("y.target").alias("y_target"), "cost"))
     unmatched = pairs.select(F.col("y_source").alias("source"), F.col("y_target").alias("target")).distinct().join(
         matches.select(F.col("y_source").alias("source"), F.col("y_target").alias("target")), ["source", "target"], "left_anti"
     )
