@@ -7,6 +7,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbering import percentiles
 from ..functions.roi import distance2
 from .spatial import points, range_join
 
@@ -86,8 +87,23 @@ def paint_motion(nodes: DataFrame, edges: DataFrame, radius: float) -> DataFrame
     return spots.groupBy("t", *SPACE).agg(F.max_by(vector, "id").alias("v")).select("t", *SPACE, "v.mv_z", "v.mv_y", "v.mv_x")
 
 
-def rasterize_balls(nodes: DataFrame, radius: float) -> DataFrame:
-    return ball_voxels(nodes, radius).select("t", *SPACE).distinct()
+def motion_mask(nodes: DataFrame, edges: DataFrame, radius: float) -> DataFrame:
+    """(t, z, y, x) of the voxels that ``paint_motion`` gives a vector."""
+    return paint_motion(nodes, edges, radius).select("t", *SPACE)
+
+
+def average_radius(nodes: DataFrame, default: float) -> DataFrame:
+    """(t, radius): the mean of a frame's own radii (nulls left out), rounded up; the default where a frame has none."""
+    return nodes.groupBy("t").agg(F.coalesce(F.ceil(F.avg("radius")).cast("double"), F.lit(float(default))).alias("radius"))
+
+
+def rasterize_balls(nodes: DataFrame, radius: float, labels: DataFrame | None = None) -> DataFrame:
+    """Voxels within ``radius`` of a node; with ``labels`` (t, z, y, x, label) only those of the label that is at the node's own voxel."""
+    if labels is None:
+        return ball_voxels(nodes, radius).select("t", *SPACE).distinct()
+    own = nodes.select("id", "t", *[F.floor(d).cast("bigint").alias(d) for d in SPACE]).join(labels, ["t", *SPACE]).select("id", F.col("label").alias("own"))
+    spots = ball_voxels(nodes, radius).join(own, "id").join(labels, ["t", *SPACE])
+    return spots.filter("label = own").select("t", *SPACE).distinct()
 
 
 def rasterize_peaks(nodes: DataFrame, sigma: float, reach: int) -> DataFrame:
@@ -119,12 +135,15 @@ def clip(value: Column, least: float | Column | None, most: float | Column | Non
 
 
 def normalize(values: DataFrame, kind: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``values`` (value) with ``normalized``: minmax, percminmax, mean or median. Bounds come from one aggregate row."""
+    """``values`` (value) with ``normalized``: minmax, percminmax, mean or median. Bounds come from one aggregate row, percentiles from ranks."""
+    exact = lambda *shares: [F.lit(v).cast("double") for v in percentiles(values, "value", list(shares))] if kind in ("percminmax", "median") else [F.lit(None)] * len(shares)
+    lowest, middle, highest = exact(low, 0.5, high)
+    one = lambda c: F.max(c)  # noqa: E731  (a constant, as an aggregate)
     aggregates = {
         "minmax": [F.min("value").alias("_a"), F.max("value").alias("_b")],
-        "percminmax": [F.percentile("value", F.lit(low)).alias("_a"), F.percentile("value", F.lit(high)).alias("_b")],
+        "percminmax": [one(lowest).alias("_a"), one(highest).alias("_b")],
         "mean": [F.avg("value").alias("_a"), F.stddev_pop("value").alias("_b")],
-        "median": [F.median("value").alias("_a"), F.percentile("value", F.lit(low)).alias("_lo"), F.percentile("value", F.lit(high)).alias("_hi"), F.stddev_pop("value").alias("_b")],
+        "median": [one(middle).alias("_a"), one(lowest).alias("_lo"), one(highest).alias("_hi"), F.stddev_pop("value").alias("_b")],
     }
     if kind not in aggregates:
         raise ValueError(f"unknown normalization {kind}")

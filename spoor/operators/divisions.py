@@ -53,3 +53,8 @@ def rates(gt_total: Column, rec_total: Column, fp: Column, fn: Column) -> list[C
     none = lambda c: F.nullif(c, F.lit(0))
     precision, recall = (rec_total - fp) / none(rec_total), (gt_total - fn) / none(gt_total)
     return [precision.alias("precision"), recall.alias("recall"), (2 * precision * recall / F.nullif(precision + recall, F.lit(0.0))).alias("f1")]
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The report (one row a leniency) as one CSV file with a header; undefined rates are empty."""
+    report.orderBy("leniency").coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -11,8 +11,10 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.roi import distance2
+from ..plans.components import broadcast_if_small, connected_components, cut
 from .graph import divisions, split_edges, tracks
-from ..plans.components import connected_components, cut
+from .spatial import range_join
 
 
 def fn_edges(gt_edges: DataFrame, matches: DataFrame) -> DataFrame:
@@ -144,22 +146,42 @@ def split_tracks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return at.join(pieces, "node").join(nodes.select("id", "t", "z", "y", "x"), "id").select(F.col("component").alias("track"), "t", "z", "y", "x")
 
 
+#: Beyond this distance (at inflection 50) a normed distance is 1 to within 1e-9.
+FAR = 50.0 + 50.0 * log(1e9) / log(9999.0)
+
+
 def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     """(track, score): for each annotated track the least distance to a reconstructed one.
 
     For tracks without gaps the distance is n1 + n2 - 2c + the sum over the c
-    common frames of the normed distances; without a common frame, n1 + n2, so
-    the shortest reconstructed track stands for all of those. No reconstructed
-    track at all is an error.
+    common frames of the normed distances; without a common frame, n1 + n2. A
+    frame in which two tracks are further apart than ``FAR`` counts as 1, so the
+    distance is n1 + n2 - c less what the near frames fall short of 1: near
+    frames come from a range join, c from the frames the tracks begin and end
+    in. Pairs without a near frame depend on those alone, so their least is
+    taken over the kinds of reconstructed tracks by (begin, end): a table that
+    grows with the square of the number of frames, not with the tracks. A track
+    with gaps is an error, and so is no reconstructed track at all.
     """
-    size = lambda d, n: d.groupBy("track").agg(F.count(F.lit(1)).alias(n))
+    number = lambda d, p: d.select(F.col("track").alias(p + "id"), F.col("t").alias(p + "t"), *[F.col(c).alias(p + c) for c in ("z", "y", "x")])
     g, r = cut(gt_tracks), cut(rec_tracks)
-    ng, nr = size(g, "n1"), size(r, "n2")
-    space = lambda d, p: d.select(F.col("track").alias(p + "track"), "t", *[F.col(c).alias(p + c) for c in ("z", "y", "x")])
-    from ..functions.roi import distance2
-
-    common = space(g, "a_").join(space(r, "b_"), "t").groupBy("a_track", "b_track").agg(F.count(F.lit(1)).alias("c"), F.sum(norm_distance(F.sqrt(distance2()))).alias("d"))
-    scored = common.join(ng.withColumnRenamed("track", "a_track"), "a_track").join(nr.withColumnRenamed("track", "b_track"), "b_track")
-    least = scored.groupBy("a_track").agg(F.min(F.col("n1") + F.col("n2") - 2 * F.col("c") + F.col("d")).alias("near"))
-    shortest = nr.agg(F.coalesce(F.min("n2"), F.raise_error(F.lit("no reconstructed track")).cast("bigint")).alias("shortest"))
-    return ng.join(least, F.col("track") == F.col("a_track"), "left").join(shortest).select("track", F.least(F.coalesce("near", F.lit(float("inf"))), (F.col("n1") + F.col("shortest")).cast("double")).alias("score"))
+
+    def spans(d: DataFrame, p: str) -> DataFrame:
+        told = d.groupBy("track").agg(F.count(F.lit(1)).alias(p + "n"), F.min("t").alias(p + "from"), F.max("t").alias(p + "to"))
+        whole = F.when(F.col(p + "n") != F.col(p + "to") - F.col(p + "from") + 1, F.raise_error(F.lit("a track has gaps")).cast("bigint")).otherwise(F.col(p + "n"))
+        return cut(told.withColumn(p + "n", whole).withColumnRenamed("track", p + "track"))
+
+    ng, nr = spans(g, "g_"), spans(r, "r_")
+    if nr.isEmpty():
+        raise ValueError("no reconstructed track")
+    near = range_join(number(g, "a_"), number(r, "b_"), FAR, FAR)
+    short = near.groupBy("a_id", "b_id").agg(F.sum(1.0 - norm_distance(F.sqrt(distance2()))).alias("short"))
+    common = F.greatest(F.lit(0), F.least("g_to", "r_to") - F.greatest("g_from", "r_from") + 1)
+    far = (F.col("g_n") + F.col("r_n") - common).cast("double")
+    scored = short.join(ng, F.col("a_id") == F.col("g_track")).join(nr, F.col("b_id") == F.col("r_track"))
+    least = scored.groupBy("g_track").agg(F.min(far - F.col("short")).alias("near"))
+    kinds = lambda d, p: d.select(p + "n", p + "from", p + "to").distinct()
+    # Both sides are kinds of tracks: at most one for each pair of frames.
+    by_kind = kinds(ng, "g_").join(broadcast_if_small(cut(kinds(nr, "r_"))), F.lit(True)).groupBy("g_from", "g_to").agg(F.min(far).alias("any"))
+    out = ng.join(by_kind, ["g_from", "g_to"]).join(least, "g_track", "left")
+    return out.select(F.col("g_track").alias("track"), F.least(F.coalesce("near", "any"), "any").alias("score"))

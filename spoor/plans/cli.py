@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..operators.results import best, sorted_results
 from ..sources.store import GraphStore
 from ..sources.tracks_file import read_tracks, to_graph
-from ..sources.tables import Graph
 from .config import Config
-from .tracking import evaluate, extract_edges, solve_store
+from .tracking import evaluate_store, extract_edges, solve_store
 
 
 def main(args: list[str] | None = None) -> None:
@@ -34,9 +33,9 @@ def main(args: list[str] | None = None) -> None:
         elif step == "evaluate":
             gt = to_graph(read_tracks(spark, given.annotation, roi=roi))
             e = config.evaluate
+            settings = dict(threshold=e.matching_threshold, window=e.window_size, sparse=e.sparse, count_unconnected_parent=e.fn_div_count_unconnected_parent, validation=e.validation_score, ignore_one_off=e.ignore_one_off_div_errors)
             for param_id in sets:
-                scores = evaluate(gt, Graph(*store.selected(param_id, roi)), e.matching_threshold, e.window_size, e.sparse, e.fn_div_count_unconnected_parent, e.validation_score)
-                store.write_score(scores.withColumn("param_id", F.lit(param_id)), ["param_id"])
+                evaluate_store(store, gt, param_id, settings, config.evaluation_roi, e.from_scratch)
         else:
             ranked = sorted_results(store.scores(), {"fp_edges": 1, "fn_edges": 1, "identity_switches": 1, "fp_divisions": 1, "fn_divisions": 1}, ("fp_divisions", "fn_divisions"))
             best(ranked).show(truncate=False)

@@ -29,6 +29,11 @@ def join_by_key(rows: DataFrame, one_per_key: DataFrame, key: str, how: str = "i
     return rows.join(other, F.struct(key) == F.col("_key"), how).drop("_key")
 
 
+def broadcast_if_small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, marked for broadcast if it is counted to have at most ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 #: Edges that one task may finish: a few dozen MB at most, known by a count.
 FEW = 200_000
 

@@ -100,7 +100,26 @@ class SolveSection:
                 rows = [r | {name: v} for r in rows for v in (values if isinstance(values, list) else [values])]
         else:
             rows = self.parameters or [{}]
-        return {i + 1: SolveParameters(**{k: v for k, v in r.items() if v is not None}) for i, r in enumerate(rows)}
+        return verified({i + 1: SolveParameters(**{k: v for k, v in r.items() if v is not None}) for i, r in enumerate(rows)})
+
+
+def verified(sets: dict[int, SolveParameters]) -> dict[int, SolveParameters]:
+    """The sets; those that look at the border need to know how far a cell moves, and all must look at it or none."""
+    if len({p.check_node_close_to_roi for p in sets.values()}) > 1:
+        raise ValueError("parameter sets differ in check_node_close_to_roi")
+    if any(p.check_node_close_to_roi and not p.max_cell_move for p in sets.values()):
+        raise ValueError("max_cell_move has to be set")
+    return sets
+
+
+def search_files(sets: dict[int, SolveParameters], folder: str) -> list[str]:
+    """One configuration file for each parameter set, as an array job reads them; their names in order."""
+    paths = []
+    for k, p in sets.items():
+        paths.append(f"{folder}/parameters_{k}.json")
+        with open(paths[-1], "w") as f:
+            json.dump({"parameters": [asdict(p)]}, f, indent=1)
+    return paths
 
 
 @dataclass
@@ -110,6 +129,9 @@ class EvaluateSection:
     sparse: bool = True
     fn_div_count_unconnected_parent: bool = True
     validation_score: bool = False
+    ignore_one_off_div_errors: bool = False
+    from_scratch: bool = False
+    roi: RoiSection | None = section(RoiSection, default=None)
 
 
 @dataclass
@@ -120,6 +142,17 @@ class Config:
     solve: SolveSection = section(SolveSection, default_factory=SolveSection)
     evaluate: EvaluateSection = section(EvaluateSection, default_factory=EvaluateSection)
 
+    def __post_init__(self):
+        own, whole = self.evaluate.roi, self.roi
+        if own is not None and whole is not None and own.shape[0] is not None and whole.shape[0] is not None and own.shape[0] > whole.shape[0]:
+            raise ValueError("the box of evaluation has more frames than the data's")
+
+    @property
+    def evaluation_roi(self) -> Roi | None:
+        """Its own box, else the data's."""
+        chosen = self.evaluate.roi or self.roi
+        return None if chosen is None else chosen.roi
+
     @classmethod
     def from_file(cls, path: str) -> Config:
         return make(cls, load(path))

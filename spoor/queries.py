@@ -100,7 +100,7 @@ def radius_lookup(spark, sf_dir):
 @query(f"""WITH {_TRACKS}, c AS (SELECT parent_id, count(*) AS n FROM tracks WHERE parent_id <> -1 GROUP BY parent_id)
 SELECT cell_id, tracks.parent_id, CASE WHEN a.n = 2 THEN 1 WHEN b.n = 2 THEN 2 ELSE 0 END AS div_state FROM tracks LEFT JOIN c a ON a.parent_id = cell_id LEFT JOIN c b ON b.parent_id = tracks.parent_id""")
 def division_state(spark, sf_dir):
-    return filters.division_state(tables.tracks_file(spark, sf_dir)).select("cell_id", "parent_id", "div_state")
+    return filters.division_state(tables.tracks_file(spark, sf_dir), allow_consecutive=True).select("cell_id", "parent_id", "div_state")
 
 
 @query(f"WITH {_TRACKS} SELECT cell_id AS source, parent_id AS target FROM tracks WHERE parent_id <> -1 AND t >= 5 AND t < 20 AND x < 300 AND parent_id IN (SELECT cell_id FROM tracks WHERE t >= 5 AND t < 20 AND x < 300)")

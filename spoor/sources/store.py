@@ -11,6 +11,7 @@ from ..functions.roi import Roi
 from ..operators.filters import keep_incident
 from ..operators.graph import selected_graph
 from ..operators.results import find_parameters, upsert, with_next_ids
+from ..streaming.ledger import finish, unfinished
 
 TABLES = ("nodes", "edges", "selections", "parameters", "scores", "done", "meta")
 
@@ -34,26 +35,49 @@ class GraphStore:
         p, fs = self._hadoop(name)
         fs.delete(p, True)
 
-    def has(self, name: str) -> bool:
+    def _version(self, name: str) -> int:
+        """The greatest version of a table that was written to its end; 0 if there is none."""
         p, fs = self._hadoop(name)
-        return fs.exists(p)
+        if not fs.exists(p):
+            return 0
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        found = [f.getPath() for f in fs.listStatus(p)]
+        return max((int(f.getName()[1:]) for f in found if f.getName()[1:].isdigit() and fs.exists(path(f, "_SUCCESS"))), default=0)
+
+    def has(self, name: str) -> bool:
+        return self._version(name) > 0
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.path}/{name}/v{self._version(name)}")
 
     def write(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
-        """Nodes and edges are partitioned by frame, so that a box prunes files."""
+        """Append; with ``by`` the table is partitioned (nodes and edges by frame, so that a box prunes files), and the partitions that
+        ``rows`` has take the place of those there: writing twice changes nothing."""
         if self.mode == "r":
             raise ValueError("store is read-only")
-        writer = rows.write.mode("append")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.path}/{name}")
+        version = f"{name}/v{max(1, self._version(name))}"
+        path = f"{self.path}/{version}"
+        if by:
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+            mark, fs = self._hadoop(f"{version}/_SUCCESS")  # overwriting partitions leaves no mark
+            fs.create(mark, True).close()
+        else:
+            rows.write.mode("append").parquet(path)
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write beside and rename: readers of the old files finish first."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}-new")
-        self._delete(name)
-        new, fs = self._hadoop(f"{name}-new")
-        fs.rename(new, self._hadoop(name)[0])
+        """Write the next version; it counts once it is whole, and only then older ones go. A crash leaves the old or the new table."""
+        before = self._version(name)
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{before + 1}")
+        for k in range(1, before + 1):
+            self._delete(f"{name}/v{k}")
+
+    def finished(self, step: str, blocks: DataFrame) -> None:
+        """Note in the ledger that a step is done with these blocks (block_id)."""
+        done = self.read("done") if self.has("done") else self.spark.createDataFrame([], "step string, block_id bigint")
+        self.replace("done", finish(done, blocks, step))
+
+    def open_blocks(self, step: str, blocks: DataFrame) -> DataFrame:
+        return unfinished(blocks, self.read("done"), step) if self.has("done") else blocks
 
     def graph(self, roi: Roi | None = None, edge_columns: list[str] | None = None, side_table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Nodes in the box (with a side table's columns by id) and the edges whose source is in it."""
@@ -71,11 +95,11 @@ class GraphStore:
         return selected_graph(nodes, keep_incident(edges, nodes), self.read("selections"), param_id)
 
     def reset_selection(self, param_ids: list[int] | None = None, roi: Roi | None = None) -> None:
-        """Forget flags: of the given sets (or all), of edges whose source is in the box (or all); without a box the ledger goes too."""
+        """Forget flags: of the given sets (or all), of edges whose source is in the box (or all); without a box the ledger forgets solving too."""
         flags = self.read("selections")
         self.replace("selections", reset(flags, None if roi is None else self.read("nodes").filter(roi.contains()), param_ids))
         if roi is None and self.has("done"):
-            self._delete("done")
+            self.replace("done", self.read("done").filter(~F.col("step").startswith("solve")))
 
     def parameter_ids(self, wanted: DataFrame, columns: list[str], decimals: int | None = None) -> DataFrame:
         """``wanted`` with ids: stored ones, and new ones on from the greatest for the rest, which are stored."""
@@ -111,7 +135,7 @@ def reset(selections: DataFrame, nodes: DataFrame | None, param_ids: list[int] |
     return selections.join(inside, "source", "left").filter(~(goes & F.coalesce("_in", F.lit(False)))).drop("_in")
 
 
-def find_or_create(registry: DataFrame, wanted: dict, with_roi: bool = True) -> str | None:
+def find(registry: DataFrame, wanted: dict, with_roi: bool = True) -> str | None:
     """The name of the one dataset whose meta row equals ``wanted``; None if there is none; several are an error."""
     rows = registry
     for k, v in wanted.items():
@@ -123,6 +147,22 @@ def find_or_create(registry: DataFrame, wanted: dict, with_roi: bool = True) ->
     return names[0] if names else None
 
 
+def find_or_create(registry: GraphStore, wanted: dict, with_roi: bool = True) -> str:
+    """The name of the dataset that equals ``wanted`` in the registry's meta table; a new row, named after its values, if there is none."""
+    if registry.has("meta") and (name := find(registry.read("meta"), wanted, with_roi)):
+        return name
+    taken = {r["name"] for r in registry.read("meta").select("name").collect()} if registry.has("meta") else set()  # one name a dataset
+    base = dataset_name(*wanted.values())
+    name = next(n for n in (base, *(f"{base}_{k}" for k in range(2, len(taken) + 3))) if n not in taken)
+    row = registry.spark.createDataFrame([(name, *wanted.values())], ", ".join(["name string", *(f"`{k}` {_sql_type(v)}" for k, v in wanted.items())]))
+    registry.write("meta", row)
+    return name
+
+
+def _sql_type(value) -> str:
+    return {bool: "boolean", int: "bigint", float: "double"}.get(type(value), "string")
+
+
 def dataset_name(*parts) -> str:
     """A deterministic name of its parts."""
     return "_".join(str(p).strip("/").replace("/", "_") for p in parts if p is not None)

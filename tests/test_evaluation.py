@@ -2,7 +2,7 @@ import pytest
 from helpers import DIVISION, TRACK, graph, shifted
 
 from spoor.operators.iso import shape
-from spoor.plans.tracking import evaluate
+from spoor.plans.tracking import assess, evaluate
 
 A, AE = TRACK
 D, DE = DIVISION
@@ -31,6 +31,37 @@ def test_scores(spark, name):
         assert found == segments
 
 
+ONE_OFF = (
+    [(251, 0, 0, 0, 0), (261, 1, 0, 0, 0), (271, 2, 0, 0, 0), (281, 3, 0, 0, 0), (282, 3, 3, 0, 0), (291, 4, 0, 0, 0), (301, 5, 0, 0, 0), (302, 5, -3, 0, 0)],
+    [(261, 251), (271, 261), (281, 271), (282, 271), (291, 281), (301, 291), (302, 291)],
+    [(2297, 0, 0, 1, 0), (2788, 1, 0, 1, 0), (2944, 2, 0, 1, 0), (2453, 3, 0, 1, 0), (3108, 2, 1, 1, 0), (2990, 3, 3, 1, 0), (2497, 4, 0, 1, 0), (2498, 5, 0, 1, 0), (2499, 5, -3, 1, 0)],
+    [(2788, 2297), (2944, 2788), (3108, 2788), (2990, 3108), (2453, 2944), (2497, 2453), (2498, 2497), (2499, 2497)],
+)
+
+
+def test_division_one_frame_off(spark):
+    gc, ge, rc, re = ONE_OFF
+    gt, rec = graph(spark, gc, ge), graph(spark, rc, re)
+    found = assess(gt, rec, 2.0)
+    row = found.scores.first()
+    assert (row["identity_switches"], row["gt_divisions"], row["fn_divisions"], row["fp_divisions"], row["fn_edges"]) == (0, 2, 1, 1, 0)
+    points = {(r["what"], r["id"], r["other"]) for r in found.points.collect()}
+    assert ("fp_division", 2788, None) in points and ("tp_division", 291, None) in points
+    assert len([p for p in points if p[0] in ("no_connection", "unconnected_child", "unconnected_parent")]) == 1
+    assert len([p for p in points if p[0] == "fp_edge"]) == row["fp_edges"] and row["iso_fp_divisions"] == 0
+    counted = assess(gt, rec, 2.0, ignore_one_off=True).scores.first()
+    assert (counted["fn_divisions"], counted["fp_divisions"], counted["iso_fn_divisions"], counted["iso_fp_divisions"]) == (0, 0, 1, 1)
+    assert counted["fp_edges"] <= row["fp_edges"] and (counted["precision"], counted["recall"]) == (row["precision"], row["recall"])
+
+
+def test_division_one_frame_off_with_a_switch(spark):
+    gc, ge, rc, re = ONE_OFF
+    gt = graph(spark, gc + [(292, 4, 3, 0, 0)], ge + [(292, 282)])
+    row = evaluate(gt, graph(spark, rc + [(2991, 3, 4, 1, 0), (2992, 4, 3, 1, 0)], re + [(2992, 2991)]), 2.0).first()
+    assert (row["identity_switches"], row["gt_divisions"], row["fn_divs_unconnected_child"], row["fn_divs_unconnected_parent"], row["fn_divs_no_connections"]) == (1, 2, 1, 0, 0)
+    assert (row["fn_divisions"], row["fp_divisions"], row["fn_edges"]) == (1, 1, 0)
+
+
 def test_several_children_are_an_error(spark):
     g = graph(spark, A + [(8, 1, 0, 0, 1), (9, 1, 0, 0, 2)], AE + [(8, 1), (9, 1)])
     with pytest.raises(ValueError):
@@ -72,3 +103,44 @@ def test_split_gives_two_pieces_and_the_root(spark):
     g = graph(spark, *DIVISION)
     lengths = sorted(r["count"] for r in split_tracks(g.nodes, g.edges).groupBy("track").count().collect())
     assert lengths == [2, 3, 4]
+
+
+def test_track_distances_by_force(spark):
+    import math
+    import random
+
+    rng = random.Random(3)
+
+    def some(n, first):
+        rows, edges, k = [], [], first
+        for _ in range(n):
+            start, length, x = rng.randrange(5), rng.randrange(2, 6), rng.uniform(0, 600)
+            for t in range(start, start + length):
+                rows.append((k, t, 0.0, 0.0, x + rng.uniform(-9, 9)))
+                if t > start:
+                    edges.append((k, k - 1))
+                k += 1
+        return rows, edges
+
+    (gr, ge), (rr, re) = some(12, 0), some(15, 1000)
+
+    def tracks(rows, edges):
+        mother = dict(edges)
+        root = lambda i: root(mother[i]) if i in mother else i
+        out = {}
+        for i, t, *at in rows:
+            out.setdefault(root(i), {})[t] = at
+        return out.values()
+
+    def distance(a, b):
+        d = 0.0
+        for t in a.keys() | b.keys():
+            d += 1 / (1 + math.exp(-math.log(9999) / 50 * (math.dist(a[t], b[t]) - 50))) if t in a and t in b else 1.0
+        return d if a.keys() & b.keys() else len(a) + len(b)
+
+    want = sorted(min(distance(a, b) for b in tracks(rr, re)) for a in tracks(gr, ge))
+    from spoor.operators.metrics import split_tracks, validation_score
+
+    g, r = graph(spark, gr, ge), graph(spark, rr, re)
+    got = sorted(x["score"] for x in validation_score(split_tracks(g.nodes, g.edges), split_tracks(r.nodes, r.edges)).collect())
+    assert got == pytest.approx(want, abs=1e-6)

@@ -11,7 +11,7 @@ from spoor.plans.components import connected_components
 from spoor.plans.tracking import extract_edges, solve_store
 from spoor.operators.objective import SolveParameters
 from spoor.sources import tracks_file
-from spoor.sources.store import GraphStore, find_or_create
+from spoor.sources.store import GraphStore, find, find_or_create
 from spoor.streaming import ledger
 
 ROWS = ["0 0 0 0 1 -1 0", "1 0 0 0 2 1 0", "1 1 2 3 3 1 0", "2 2 2 2 4 3 0", "1 1 1 1 5 -1 0"]
@@ -134,9 +134,69 @@ def test_store(spark, tmp_path):
 
 def test_registry(spark):
     rows = spark.createDataFrame([("a", "s1", None), ("b", "s1", "r"), ("c", "s2", None)], "name string, sample string, roi string")
-    assert find_or_create(rows, {"sample": "s1", "roi": None}) == "a" and find_or_create(rows, {"sample": "s3"}) is None
+    assert find(rows, {"sample": "s1", "roi": None}) == "a" and find(rows, {"sample": "s3"}) is None
     with pytest.raises(ValueError):
-        find_or_create(rows, {"sample": "s1", "roi": None}, with_roi=False)
+        find(rows, {"sample": "s1", "roi": None}, with_roi=False)
+
+
+def test_datasets_are_created_once(spark, tmp_path):
+    registry = GraphStore(spark, str(tmp_path / "registry"), "a")
+    one = find_or_create(registry, {"sample": "a/b", "checkpoint": 10, "roi": None})
+    assert one == "a_b_10" == find_or_create(registry, {"sample": "a/b", "checkpoint": 10, "roi": None})
+    two = find_or_create(registry, {"sample": "a_b", "checkpoint": 10, "roi": None})
+    assert two == "a_b_10_2" and registry.read("meta").count() == 2
+
+
+def test_steps_can_be_repeated(spark, tmp_path):
+    from spoor.plans.tracking import evaluate_store
+    from spoor.sources.tables import Graph
+
+    store = GraphStore(spark, str(tmp_path / "db"), "w")
+    cells = spark.createDataFrame([(i, t, 1.0, 1.0, float(x), 2.0, 0.0, 0.0, 0.0) for i, t, x in ((0, 0, 1), (1, 1, 1), (2, 2, 0), (3, 2, 2), (4, 2, 3), (5, 3, 2))], "id bigint, t int, z double, y double, x double, score double, mv_z double, mv_y double, mv_x double")
+    store.write("nodes", cells, by=["t"])
+    store.write("nodes", cells, by=["t"])
+    assert store.read("nodes").count() == 6
+    left, right = Roi((0, 0, 0, 0), (9, 9, 9, 2)), Roi((0, 0, 0, 2), (9, 9, 9, 9))
+    for roi in (left, right, left):
+        extract_edges(store, 2.0, roi=roi)
+    extract_edges(store, 2.0)
+    extract_edges(store, 2.0)
+    edges = store.read("edges").select("source", "target")
+    assert edges.count() == edges.distinct().count() == 7
+    p = SolveParameters(track_cost=4.0, weight_edge_score=0.1, weight_node_score=-0.1, selection_constant=-1.0)
+    for _ in range(2):
+        solve_store(store, {1: p})
+    solve_store(store, {1: p}, from_scratch=True)
+    assert store.read("selections").count() == 7
+    assert {r["step"].split("_")[0] for r in store.read("done").collect()} == {"extract", "solve"}
+    gt = Graph(cells.select("id", "t", "z", "y", "x"), spark.createDataFrame([(1, 0), (2, 1), (3, 1), (5, 3)], "source bigint, target bigint"))
+    settings = dict(threshold=0.5, window=3)
+    first = evaluate_store(store, gt, 1, settings).first()
+    assert first["matched_edges"] == 4 and evaluate_store(store, None, 1, settings).first() == first  # the second comes from the store
+    assert store.read("scores").count() == 1
+
+
+def test_a_broken_replacement_leaves_the_old_table(spark, tmp_path):
+    store = GraphStore(spark, str(tmp_path / "db"), "w")
+    store.write("selections", spark.range(3))
+    (tmp_path / "db" / "selections" / "v2").mkdir()  # written in part: no mark of success
+    assert store.read("selections").count() == 3
+    store.replace("selections", spark.range(5))
+    assert store.read("selections").count() == 5 and not (tmp_path / "db" / "selections" / "v1").exists()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from spoor.plans import cli
+
+    store = GraphStore(spark, str(tmp_path / "db"), "w")
+    rows = [(i, t, 1.0, 1.0, float(x), 2.0, 0.0, 0.0, 0.0) for i, t, x in ((0, 0, 1), (1, 1, 1), (2, 2, 1))]
+    store.write("nodes", spark.createDataFrame(rows, "id bigint, t int, z double, y double, x double, score double, mv_z double, mv_y double, mv_x double"), by=["t"])
+    (tmp_path / "tracks.txt").write_text("t\tz\ty\tx\tcell_id\tparent_id\ttrack_id\n0\t1\t1\t1\t7\t-1\t7\n1\t1\t1\t1\t8\t7\t7\n2\t1\t1\t1\t9\t8\t7\n")
+    (tmp_path / "c.toml").write_text(f'store = "{tmp_path}/db"\n[extract]\nedge_move_threshold = 2\n[solve]\nparameters = [{{track_cost = 4.0, weight_edge_score = 0.1, weight_node_score = -0.1, selection_constant = -1.0}}]\n[evaluate]\nmatching_threshold = 0.5\n')
+    for _ in range(2):
+        cli.main([str(tmp_path / "c.toml"), "extract", "solve", "evaluate", "best", "--annotation", str(tmp_path / "tracks.txt")])
+    assert "sum_errors" in capsys.readouterr().out
+    assert store.read("scores").count() == 1 and store.read("scores").first()["f_score"] == 1.0
 
 
 def test_results(spark):
@@ -191,6 +251,61 @@ def test_consecutive_states(spark):
     rows = spark.createDataFrame([(1, -1), (2, 1), (3, 1), (4, 1)], "cell_id bigint, parent_id bigint")
     with pytest.raises(Exception, match="two children"):
         filters.division_state(rows).collect()
+    rows = spark.createDataFrame([(1, -1), (2, 1), (3, 1), (4, 2), (5, 2)], "cell_id bigint, parent_id bigint")
+    with pytest.raises(Exception, match="successive divisions"):
+        filters.division_state(rows).collect()
+    states = lambda **how: {r["cell_id"]: r["div_state"] for r in filters.division_state(rows, **how).collect()}
+    assert states(allow_consecutive=True) == {1: 1, 2: 1, 3: 2, 4: 2, 5: 2} and states(strict=True) == {1: 0, 2: 2, 3: 2, 4: 2, 5: 2}
+
+
+def test_small_helpers(spark):
+    configs = spark.range(20).withColumnRenamed("id", "a")
+    some = [r["a"] for r in search.some(configs, 5, 3).collect()]
+    assert some == [r["a"] for r in search.some(configs.repartition(3), 5, 3).collect()] and len(set(some)) == 5
+    rows = spark.createDataFrame([(1, 0, "x", 1.0), (1, 2, "y", None), (2, 1, "x", 2.0)], "k bigint, t int, tag string, v double")
+    assert {(r["k"], r["t"]) for r in filters.latest_rows(rows, "k", "t").collect()} == {(1, 2), (2, 1)}
+    assert rows.filter(filters.is_frame(1)).count() == 1 and rows.filter(filters.matches_parameters({"tag": "y", "v": None})).count() == 1
+    with pytest.raises(ValueError):
+        from spoor.plans.config import verified
+
+        verified({1: SolveParameters(check_node_close_to_roi=True)})
+
+
+def test_radii_masks_and_report(spark, tmp_path):
+    from spoor.operators import divisions
+
+    nodes = spark.createDataFrame([(1, 0, 5.0, 5.0, 5.0, 1.2), (2, 0, 9.0, 9.0, 9.0, 3.1), (3, 1, 5.0, 5.0, 6.0, None)], "id bigint, t int, z double, y double, x double, radius double")
+    assert {r["t"]: r["radius"] for r in arrays.average_radius(nodes, 7.0).collect()} == {0: 3.0, 1: 7.0}
+    edges = spark.createDataFrame([(3, 1)], "source bigint, target bigint")
+    mask, painted = arrays.motion_mask(nodes, edges, 1.0), arrays.paint_motion(nodes, edges, 1.0)
+    assert mask.count() == painted.count() == 7
+    labels = spark.createDataFrame([(0, 5, 5, x, 1 if x < 6 else 2) for x in range(4, 8)], "t int, z bigint, y bigint, x bigint, label int")
+    assert {r["x"] for r in arrays.rasterize_balls(nodes.filter("id = 1"), 1.0, labels).collect()} == {4, 5}
+    report = divisions.division_reports(nodes.filter("id < 3"), nodes.filter("id < 3"), 0, 0.5, 1)
+    divisions.write_report(report, str(tmp_path / "report"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "report")).collect()
+    assert [(r["leniency"], r["gt_total"], r["fp"]) for r in back] == [("0", "2", "0"), ("1", "2", "0")]
+
+
+def test_percentiles_by_rank(spark):
+    from spoor.functions.numbering import percentiles
+
+    rng = random.Random(8)
+    values = [rng.choice([None, rng.uniform(0, 9), 3.0]) for _ in range(200)]
+    there = sorted(v for v in values if v is not None)
+    got = percentiles(spark.createDataFrame([(v,) for v in values], "v double"), "v", [0.0, 0.01, 0.5, 0.99, 1.0])
+    at = lambda p: there[int(p)] + (there[min(int(p) + 1, len(there) - 1)] - there[int(p)]) * (p - int(p))
+    assert got == pytest.approx([at(s * (len(there) - 1)) for s in (0.0, 0.01, 0.5, 0.99, 1.0)])
+    assert percentiles(spark.createDataFrame([], "v double"), "v", [0.5]) == [None]
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    from spoor.plans.components import connected_components
+
+    rng = random.Random(9)
+    edges = spark.createDataFrame([(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)], "a bigint, b bigint")
+    as_set = lambda df: {(r["node"], r["component"]) for r in df.collect()}
+    assert as_set(connected_components(edges)) == as_set(connected_components(edges, few=-1))
 
 
 def test_config_and_text(spark, tmp_path):
