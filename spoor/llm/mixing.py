@@ -80,8 +80,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, budget_ratio: flo
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(text).alias("size"), F.xxhash64(text).alias("content"))
         .withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))), "mix-sizes"
     )
-    digits = 3
-    while sizes.count() > rows_per_cell * 16 ** (digits - 1):
+    digits, rows = 3, sizes.count()
+    while rows > rows_per_cell * 16 ** (digits - 1):
         digits += 1
     targets = written(source_targets(sizes, weights, budget_ratio, max_repeats), "mix-targets")
     placed = sizes.join(targets, sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"]).withColumn("cell", F.substring("key", 1, digits))
