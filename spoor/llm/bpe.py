@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import released, text_of
 
 #: Between a character that is no white space and a blank or newline, or between
 #: a letter or digit and a following symbol, no match of the pattern continues.
@@ -66,12 +66,12 @@ def _per_row(make: Callable, fields: list[tuple[str, pa.DataType]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
+            for part in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
                 rows = [make(x.as_py()) for x in part.column(1)]
                 columns = [pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, *part.columns[2:]], ["doc_id", *[n for n, _ in fields], *part.schema.names[2:]])
 
-    return run
+    return released(run)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, chunk_chars: int = 1 << 16) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +59,18 @@ BROADCAST_ROWS = 200_000
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, marked for broadcast if it is counted to have at most ``most`` rows; beyond that, joins shuffle. ``df`` should be cheap to count."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches; at its end the worker, which Spark keeps, gives freed memory back to the system."""
+
+    @wraps(run)
+    def partition(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return partition

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, packed, text_of, unpacked, written
+from .common import broadcast_if_small, packed, released, text_of, unpacked, written
 from ..plans.components import connected_components, join_by_key
 
 WORDS = 5
@@ -243,7 +243,7 @@ def _placed(groups: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, digest, rep (the least id of its copies), copies, class_id (the least id of its class), links."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NULL_ID)).alias("doc_id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
-    signed = written(texts.mapInArrow(_sign, "doc_id bigint, version bigint, digest binary, bands array<bigint>, words bigint"), "jaccard-signed")
+    signed = written(texts.mapInArrow(released(_sign), "doc_id bigint, version bigint, digest binary, bands array<bigint>, words bigint"), "jaccard-signed")
     groups = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("version", "doc_id").alias("version"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.max("words").alias("words"))
     groups = written(groups.withColumn("node", F.monotonically_increasing_id()), "jaccard-groups")
 
@@ -252,7 +252,7 @@ def classes(docs: DataFrame) -> DataFrame:
     # Rows with one id and one text have one representative: one of the texts is enough.
     members = texts.join(broadcast_if_small(placed.select("node", "rep", "v")), same).groupBy("node").agg(F.first("text").alias("text"))
     members = join_by_key(placed.drop("rep", "v"), members, "node").select("node", "copies", "home", "roots", "places", "text")
-    members = members.mapInArrow(_sets, f"node bigint, copies bigint, home bigint, roots array<bigint>, places {_PLACES}, sig binary, grams binary")
+    members = members.mapInArrow(released(_sets), f"node bigint, copies bigint, home bigint, roots array<bigint>, places {_PLACES}, sig binary, grams binary")
     members = members.withColumn("place", F.explode("places")).select("node", "copies", "home", "roots", "sig", "grams", "place.*")
     found = written(members.groupBy("target", "low", "high").applyInPandas(_block_pair, "node bigint, links bigint, linked_to bigint"), "jaccard-links")
 

@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, text_of, unpacked, written
+from .common import packed, released, text_of, unpacked, written
 
 # Word lists in English, German, French and Spanish.
 TARGETS = frozenset("""you your yours yourself yourselves u ya they them their him his he her hers she these those people everyone everybody nobody folks guys
@@ -215,7 +215,7 @@ def _feature_map(lexicon: Lexicon, grammar: Grammar):
         for batch in batches:
             yield pd.DataFrame({"toxic": batch["toxic"], "x": [list(document_features(t, lexicon, grammar)) for t in batch["text"]]})
 
-    return run
+    return released(run)
 
 
 @dataclass
@@ -272,15 +272,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             rows = model.features(batch["text"])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": model.of_features(rows), "clauses": np.rint(np.expm1(rows[:, 2])).astype("int64")})
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInPandas(run, "doc_id bigint, score double, clauses bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInPandas(released(run), "doc_id bigint, score double, clauses bigint")
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns; the text itself decides, row by row."""
 
     @F.pandas_udf("double")
-    def text_score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.of_features(model.features(text)))
+    def text_score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return released(lambda batches: (pd.Series(model.score(t)) for t in batches))(texts)
 
     rows = packed(docs, text=text_of())
     return unpacked(rows.filter(text_score("text") < threshold), docs)
