@@ -217,6 +217,30 @@ def shift_points(nodes: DataFrame, shifts: dict[int, tuple], roi=None) -> DataFr
     return out if roi is None else out.filter(roi.contains())
 
 
+def shift_voxels(voxels: DataFrame, shifts: dict[int, tuple]) -> DataFrame:
+    """Voxels (t, z, y, x, ...) moved by their frame's whole (z, y, x) shift; what leaves or enters the volume is up to a filter."""
+    out = voxels
+    for k, d in enumerate(SPACE):
+        move = F.lit(0)
+        for frame, shift in sorted(shifts.items()):
+            move = F.when(F.col("t") == frame, F.lit(int(shift[k]))).otherwise(move)
+        out = out.withColumn(d, (F.col(d) + move).cast("bigint"))
+    return out
+
+
+def zoom_voxels(voxels: DataFrame, centre: tuple, factor: float) -> DataFrame:
+    """(t, z, y, x, value): the volume zoomed about the centre, at the same voxels, linear between the eight around each source place; outside counts as 0."""
+    whole = voxels.select("t", *[F.col(d).cast("bigint").alias(d) for d in SPACE], F.col("value").cast("double").alias("value"))
+    asked = whole.select("t", *[F.col(d).alias("o_" + d) for d in SPACE], *[(F.lit(float(c)) + (F.col(d) - float(c)) / float(factor)).alias("q_" + d) for d, c in zip(SPACE, centre)])
+    corners = asked.withColumn("w", F.lit(1.0))
+    for d in SPACE:
+        low = F.floor("q_" + d)
+        ends = F.array(F.struct(low.alias("at"), (1 - (F.col("q_" + d) - low)).alias("part")), F.struct((low + 1).alias("at"), (F.col("q_" + d) - low).alias("part")))
+        corners = corners.withColumn("_e", F.explode(ends)).withColumn(d, F.col("_e.at")).withColumn("w", F.col("w") * F.col("_e.part")).drop("_e")
+    found = corners.filter("w > 0").join(whole, ["t", *SPACE], "left")
+    return found.groupBy("t", *["o_" + d for d in SPACE]).agg(F.sum(F.col("w") * F.coalesce("value", F.lit(0.0))).alias("value")).withColumnsRenamed({"o_" + d: d for d in SPACE})
+
+
 def shift_table(rng, slip: float, shift: float, sigma: float, frames: int = 7) -> dict[int, tuple]:
     """Shifts of the seven frames: the centre frame slips alone, or it and all later ones move; counted from the centre frame, which stays."""
     centre = frames // 2
@@ -241,6 +265,11 @@ def training_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def mean_squared_error(rows: DataFrame, predicted: str, truth: str) -> DataFrame:
+    """The loss without weights."""
+    return rows.agg(F.avg((F.col(predicted) - F.col(truth)) * (F.col(predicted) - F.col(truth))).alias("mse"))
+
+
 def loss_blend(step: Column, factor: float, offset: float) -> Column:
     return 1.0 / (1.0 + F.exp(factor * (offset - step)))
 

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import DIVISION, graph, pairs
+from pyspark.sql import functions as F
 
 from spoor.functions.numbering import dense_numbers
 from spoor.functions.roi import Roi, frame_value
@@ -324,3 +325,49 @@ def test_config_and_text(spark, tmp_path):
     nodes, edges = g.nodes.selectExpr("*", "1.0D as score"), g.edges.selectExpr("*", "2.0D as prediction_distance")
     lines = [r["value"] for r in as_text(objective(nodes, edges, SolveParameters()), constraints(nodes, edges)).collect()]
     assert len(lines) == 7 + 1 + 2 * 4 and any(line.startswith("edge_endpoints") and line.endswith("<= 0.0") for line in lines)
+
+
+def volume(spark, frames=2, size=5, value=lambda t, z, y, x: 0.0):
+    return spark.createDataFrame([(t, z, y, x, float(value(t, z, y, x))) for t in range(frames) for z in range(size) for y in range(size) for x in range(size)], "t int, z bigint, y bigint, x bigint, value double")
+
+
+def test_cells_from_voxels(spark, tmp_path):
+    from spoor.plans.tracking import extract_cells
+
+    peaks = {(0, 1, 1, 1): 0.9, (0, 3, 3, 3): 0.8, (1, 2, 2, 2): 0.7, (1, 0, 0, 4): 0.1}
+    voxels = volume(spark, value=lambda *at: peaks.get(at, 0.0))
+    motion = voxels.select("t", "z", "y", "x", F.lit(1.0).alias("mv_z"), F.col("y").cast("double").alias("mv_y"), F.lit(0.0).alias("mv_x"))
+    store = GraphStore(spark, str(tmp_path / "db"), "w")
+    for _ in range(2):
+        extract_cells(store, voxels, (3, 3, 3), 0.5, motion, 3, begin=(10, 0, 0), voxel_size=(2, 1, 1))
+    rows = {(r["t"], r["z"], r["y"], r["x"]): (r["score"], r["mv_z"], r["mv_y"]) for r in store.read("nodes").collect()}
+    assert rows == {(0, 12.0, 1.0, 1.0): (0.9, 1.0, 1.0), (0, 16.0, 3.0, 3.0): (0.8, 1.0, 3.0), (1, 14.0, 2.0, 2.0): (0.7, 1.0, 2.0)}
+
+
+def test_zoom_and_shift_of_voxels(spark):
+    voxels = volume(spark, 1, 5, lambda t, z, y, x: 2 * z + 3 * y - x)
+    out = {(r["z"], r["y"], r["x"]): r["value"] for r in arrays.zoom_voxels(voxels, (2, 2, 2), 2.0).collect()}
+    assert len(out) == 125 and all(v == pytest.approx(2 * (2 + (z - 2) / 2) + 3 * (2 + (y - 2) / 2) - (2 + (x - 2) / 2)) for (z, y, x), v in out.items())
+    same = {(r["z"], r["y"], r["x"]): r["value"] for r in arrays.zoom_voxels(voxels, (2, 2, 2), 1.0).collect()}
+    assert all(v == 2 * z + 3 * y - x for (z, y, x), v in same.items())
+    moved = arrays.shift_voxels(volume(spark, 2, 2), {1: (1, -1, 0)}).collect()
+    assert {(r["t"], r["z"]) for r in moved} == {(0, 0), (0, 1), (1, 1), (1, 2)} and {r["y"] for r in moved if r["t"] == 1} == {-1, 0}
+
+
+def test_kinds_of_problems(spark):
+    from spoor.operators.objective import constraints, default_constraints
+
+    g = graph(spark, [(1, 0, 0, 0, 0), (2, 1, 0, 0, 0)], [(2, 1)])
+    flags = spark.createDataFrame([(2, 1, True)], "source bigint, target bigint, selected boolean")
+    assert default_constraints("basic", g.nodes, g.edges).count() == constraints(g.nodes, g.edges).count()
+    assert default_constraints("cell_state", g.nodes, g.edges, flags).filter("family = 'pinned'").count() == 1
+    with pytest.raises(ValueError):
+        default_constraints("other", g.nodes, g.edges)
+
+
+def test_channels(spark):
+    one, two = volume(spark, 1, 2, lambda t, z, y, x: x), volume(spark, 1, 2, lambda t, z, y, x: 10 + x)
+    both = arrays.combine_channels(one, two)
+    assert {tuple(r["value"]) for r in both.collect()} == {(0.0, 10.0), (1.0, 11.0)} and arrays.stack([one, two]).groupBy("rep").count().count() == 2
+    assert {tuple(sorted(r["v"])) for r in both.select(arrays.shuffle_channels(F.col("value"), 3).alias("v")).collect()} == {(0.0, 10.0), (1.0, 11.0)}
+    assert arrays.mean_squared_error(spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "p double, q double"), "p", "q").first()["mse"] == 2.0
