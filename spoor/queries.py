@@ -130,6 +130,28 @@ def exclude_times(spark, sf_dir):
     return filters.exclude_times(rows, [(6, 9), (20, 21)])
 
 
+@query(f"WITH {_CELLS} SELECT id, t, score FROM cells WHERE t = 7 AND z = 10")
+def attribute_filter(spark, sf_dir):
+    return filters.where_equal(tables.cells(spark, sf_dir), {"t": 7, "z": 10.0}).select("id", "t", "score")
+
+
+@query(f"WITH {_CELLS} SELECT id, y FROM cells WHERE t = 3")
+def one_frame(spark, sf_dir):
+    return tables.cells(spark, sf_dir).filter(filters.is_frame(3)).select("id", "y")
+
+
+@query(f"WITH {_CELLS} SELECT id, y, t FROM cells QUALIFY row_number() OVER (PARTITION BY y ORDER BY id DESC) = 1")
+def latest_cells(spark, sf_dir):
+    """The last row of each key."""
+    return filters.latest_rows(tables.cells(spark, sf_dir), "y", "id").select("id", "y", "t")
+
+
+@query(f"WITH {_CELLS} SELECT t, coalesce(CAST(ceil(avg(CASE WHEN t % 5 <> 0 AND id % 3 <> 0 THEN z / 10 END)) AS DOUBLE), 6.0::DOUBLE) AS radius FROM cells GROUP BY t")
+def average_radius(spark, sf_dir):
+    own = F.when((F.col("t") % 5 != 0) & (F.col("id") % 3 != 0), F.col("z") / 10)
+    return arrays.average_radius(tables.cells(spark, sf_dir).withColumn("radius", own), 6.0)
+
+
 # ---- range joins ---------------------------------------------------------
 
 
@@ -450,6 +472,32 @@ def match_distance_stats(spark, sf_dir):
     return rounded(match.distance_stats(found).fillna(-1, ["frame"]), "avg_distance", "median_distance", "min_distance", "max_distance")
 
 
+@query(f"""WITH RECURSIVE {_MATCH}, {_FPD}, {_FND}, {_IS}, w AS (SELECT id, id AS root FROM gn WHERE id NOT IN (SELECT source FROM ge) UNION ALL SELECT ge.source, w.root FROM w JOIN ge ON ge.target = w.id),
+v AS (SELECT id, id AS root FROM rn WHERE id NOT IN (SELECT source FROM re) UNION ALL SELECT re.source, v.root FROM v JOIN re ON re.target = v.id),
+kept AS (SELECT y_source AS source, y_target AS target FROM m), cuts AS (SELECT id FROM fpd WHERE id IN (SELECT source FROM kept) AND id IN (SELECT target FROM kept)),
+p AS (SELECT source, target, target AS root FROM kept WHERE target NOT IN (SELECT source FROM kept) OR target IN (SELECT id FROM cuts) UNION ALL SELECT k.source, k.target, p.root FROM p JOIN kept k ON k.target = p.source WHERE p.source NOT IN (SELECT id FROM cuts)),
+n AS (SELECT root, count(*) AS n FROM p GROUP BY root),
+c AS (SELECT (SELECT count(*) FROM ge) AS gt_edges, (SELECT count(*) FROM re) AS rec_edges, (SELECT count(*) FROM m) AS matched_edges)
+SELECT (SELECT count(DISTINCT target) FROM ge WHERE target NOT IN (SELECT source FROM ge)) AS gt_tracks, (SELECT count(DISTINCT target) FROM re WHERE target NOT IN (SELECT source FROM re)) AS rec_tracks,
+  (SELECT count(DISTINCT root) FROM m JOIN w ON id = x_source) AS gt_matched_tracks, (SELECT count(DISTINCT root) FROM m JOIN v ON id = y_source) AS rec_matched_tracks, gt_edges, rec_edges, matched_edges,
+  CAST(0 AS BIGINT) AS fp_edges, gt_edges - matched_edges AS fn_edges, (SELECT count(*) FROM sw) AS identity_switches, (SELECT count(*) FROM fpd) AS fp_divisions, (SELECT count(*) FROM fnd WHERE result <> 'tp') AS fn_divisions,
+  CAST(0 AS BIGINT) AS iso_fn_divisions, CAST(0 AS BIGINT) AS iso_fp_divisions, (SELECT count(*) FROM fnd) AS gt_divisions, (SELECT count(*) FROM fnd WHERE result = 'no_connection') AS fn_divs_no_connections,
+  (SELECT count(*) FROM fnd WHERE result = 'unconnected_child') AS fn_divs_unconnected_child, (SELECT count(*) FROM fnd WHERE unconnected_parent) AS fn_divs_unconnected_parent,
+  (SELECT round(avg(n), 6) FROM n) AS aeftl, (SELECT round(sum(n * n) / CAST((SELECT count(*) FROM ge) AS DOUBLE), 6) FROM n) AS erl, 1.0::DOUBLE AS precision, round(matched_edges / CAST(gt_edges AS DOUBLE), 6) AS recall,
+  round(2 * (matched_edges / CAST(gt_edges AS DOUBLE)) / (1.0::DOUBLE + matched_edges / CAST(gt_edges AS DOUBLE)), 6) AS f_score FROM c""")
+def evaluation_scores(spark, sf_dir):
+    """The numbers of ``evaluation`` without its windows, which ``perfect_segments`` has."""
+    return rounded(tracking.evaluate(*_both(spark, sf_dir), 0.5).drop("correct_segments"), "aeftl", "erl", "precision", "recall", "f_score")
+
+
+@query(f"""WITH {_MATCH}, {_FPD}, {_FND}, {_IS}
+SELECT 'fn_edge' AS what, source AS id, target AS other FROM (SELECT source, target FROM ge EXCEPT SELECT x_source, x_target FROM m) UNION ALL SELECT 'identity_switch', id, -1 FROM sw UNION ALL SELECT 'fp_division', id, -1 FROM fpd
+UNION ALL SELECT CASE WHEN result = 'tp' THEN 'tp_division' ELSE result END, id, -1 FROM fnd""")
+def failure_points(spark, sf_dir):
+    """Every node and edge that is an error, and the divisions that are right."""
+    return tracking.assess(*_both(spark, sf_dir), 0.5).points.fillna(-1, ["other"])
+
+
 @query(None)
 def evaluation(spark, sf_dir):
     """Every score of the reconstruction in one row."""
