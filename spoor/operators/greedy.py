@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.components import connected_components, cut
+from ..plans.components import FEW, cut
+
+_EDGE = ["source", "target", "metric", "first"]
 
 
 def choose(edges, children_allowed: tuple[int, int]):
-    """Selected (source, target) of one connected set of a frame's edges (source, target, metric, first).
+    """Selected (source, target) of a frame's edges (source, target, metric, first).
 
     First the edges of sources in the selected set, whose targets may have up
     to two children; then, where the second allowance is positive, those of
@@ -26,34 +30,60 @@ def choose(edges, children_allowed: tuple[int, int]):
     return out
 
 
-def greedy_track(nodes: DataFrame, edges: DataFrame, metric: str = "prediction_distance", node_threshold: float = 0.2, allow_new_tracks: bool = True) -> DataFrame:
+def choose_by_rounds(edges: DataFrame, children_allowed: tuple[int, int]) -> DataFrame:
+    """``choose`` by joins and groupings, for frames of any size.
+
+    An edge that is the first of the open edges of its source and of its target
+    is taken: nothing before it can be in its way. Then the edges of its source
+    go, and those of its target once that has all its children.
+    """
+    taken = None
+    key = F.struct("metric", "source", "target")
+    for stage, most in enumerate(children_allowed):
+        if not most:
+            continue
+        open_ = edges.filter(F.col("first") == (stage == 0)).select("source", "target", "metric")
+        while True:
+            if taken is not None:
+                full = taken.groupBy("target").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most).select("target")
+                open_ = open_.join(taken.select("source"), "source", "left_anti").join(full, "target", "left_anti")
+            open_ = cut(open_)
+            if open_.isEmpty():
+                break
+            of_source = open_.groupBy("source").agg(F.min(key).alias("k"))
+            of_target = open_.groupBy("target").agg(F.min(key).alias("k2"))
+            now = of_source.select("k.source", "k.target", "k").join(of_target, "target").filter("k = k2").select("source", "target")
+            taken = cut(now if taken is None else taken.unionByName(now))
+    return edges.select("source", "target").limit(0) if taken is None else taken
+
+
+def greedy_track(nodes: DataFrame, edges: DataFrame, metric: str = "prediction_distance", node_threshold: float = 0.2, allow_new_tracks: bool = True, few: int = FEW) -> DataFrame:
     """(source, target) of the selected edges.
 
-    Frames depend on one another, so there is one job a frame; within a frame,
-    connected sets of edges are independent and are dealt to tasks. Sources in
-    the selected set are the targets chosen a frame later; in the last frame,
-    all cells above the threshold.
+    Frames depend on one another, so there is one job a frame. A frame that is
+    counted to have at most ``few`` edges is chosen in one task, a larger one by
+    rounds, with the same result. Sources in the selected set are the targets
+    chosen a frame later; in the last frame, all cells above the threshold.
     """
     at = nodes.select("id", "t", "score")
     rows = edges.select("source", "target", F.col(metric).alias("metric")).join(at.select(F.col("id").alias("source"), "t", F.col("score").alias("s_score")), "source")
-    rows = rows.join(at.select(F.col("id").alias("target"), F.col("score").alias("t_score")), "target").filter(F.col("t_score") >= node_threshold)
-    named = rows.select(F.concat(F.lit("s"), F.col("source").cast("string")).alias("a"), F.concat(F.lit("t"), F.col("target").cast("string")).alias("b"))
-    rows = rows.join(connected_components(named).filter("node like 's%'").select(F.expr("substring(node, 2)").cast("bigint").alias("source"), "component"), "source")
-    rows = cut(rows)
-    frames = [r["t"] for r in nodes.select("t").distinct().orderBy(F.desc("t")).collect()]  # one number a frame
+    rows = cut(rows.join(at.select(F.col("id").alias("target"), F.col("score").alias("t_score")), "target").filter(F.col("t_score") >= node_threshold))
+    sizes = {r["t"]: r["n"] for r in rows.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}  # two numbers a frame
+    frames = [r["t"] for r in nodes.select("t").distinct().orderBy(F.desc("t")).collect()]
     if not frames:
         return edges.select("source", "target").limit(0)
+    allowed = (2, 1 if allow_new_tracks else 0)
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        chosen = choose(list(group[["source", "target", "metric", "first"]].itertuples(index=False, name=None)), (2, 1 if allow_new_tracks else 0))
-        return pd.DataFrame(chosen, columns=["source", "target"])
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        some = [r for batch in batches for r in batch[_EDGE].itertuples(index=False, name=None)]
+        yield pd.DataFrame(choose(some, allowed), columns=["source", "target"])
 
     selected = nodes.filter((F.col("t") == frames[0]) & (F.col("score") > node_threshold)).select("id")
     out = None
     for frame in frames:
         here = rows.filter(F.col("t") == frame).join(selected.withColumn("first", F.lit(True)), F.col("source") == F.col("id"), "left")
-        here = here.filter(F.col("first") | (F.col("s_score") > node_threshold)).select("component", "source", "target", "metric", F.coalesce("first", F.lit(False)).alias("first"))
-        chosen = cut(here.groupBy("component").applyInPandas(kernel, "source bigint, target bigint"))
+        here = here.filter(F.col("first") | (F.col("s_score") > node_threshold)).select("source", "target", "metric", F.coalesce("first", F.lit(False)).alias("first"))
+        chosen = cut(here.coalesce(1).mapInPandas(kernel, "source bigint, target bigint")) if sizes.get(frame, 0) <= few else choose_by_rounds(cut(here), allowed)
         selected = chosen.select(F.col("target").alias("id")).distinct()
         out = chosen if out is None else out.union(chosen)
     return out

@@ -168,6 +168,17 @@ def test_greedy(spark):
     assert pairs(greedy_track(nodes, edges, "distance", node_threshold=1.5)) == {(1, 0), (4, 1), (5, 4)}
 
 
+def test_greedy_by_rounds(spark):
+    rng = random.Random(8)
+    cells, edges = random_cells(rng, 4, 7, 5.0)
+    edges = [(v, u, round(d, 0)) for v, u, d in edges]  # with ties
+    nodes, _ = tables(spark, cells)
+    links = distance_edges(spark, edges)
+    for new in (True, False):
+        one = pairs(greedy_track(nodes, links, "distance", 0.3, new))
+        assert one == pairs(greedy_track(nodes, links, "distance", 0.3, new, few=-1)) and one
+
+
 def test_assignment_by_hand_and_by_force():
     assert best_assignment([(1, 1, 10)], 20) == [(1, 1)] and best_assignment([(1, 1, 10)], 3) == []
     assert best_assignment([(1, 1, 10), (1, 2, 15)], 20) == [(1, 1)]
