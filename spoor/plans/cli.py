@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.results import best, sorted_results
 from ..sources.store import GraphStore
