@@ -2,7 +2,6 @@
 
 import hashlib
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
