@@ -52,6 +52,11 @@ def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("row").getField(c).alias(c) for c in like.columns])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda that names an expression would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 #: Rows of a few dozen bytes: about 20 MB in memory on each executor at most.
 BROADCAST_ROWS = 200_000
 
