@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chunks, exact, fingerprint, html, jaccard, licenses, mixing, secrets, toxicity
+from . import alignment, bpe, chunks, decontaminate, exact, fingerprint, html, jaccard, licenses, manifest, mixing, secrets, toxicity
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,9 +61,22 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents")).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op3_html": op3_html, "op4_fingerprint": op4_fingerprint, "op5_chunks": op5_chunks, "op6_mix": op6_mix,
     "op7_secrets": op7_secrets, "op8_licenses": op8_licenses, "op9_exact": op9_exact, "op10_jaccard": op10_jaccard,
+    "op11_manifest": op11_manifest, "op12_alignment": op12_alignment, "op13_leaks": op13_leaks,
 }
 
 _SIZES = r"SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents"
@@ -116,4 +129,34 @@ FROM d LEFT JOIN a USING (doc_id)""",
     "op9_exact": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op11_manifest": """
+WITH RECURSIVE f AS (SELECT *, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS tampered FROM (
+    SELECT doc_id, source, lang, n_chars, text, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+      lambda c, x: list_reduce(list_prepend(xor(c, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) END AS crc FROM documents)),
+head AS (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS start FROM f),
+l AS (SELECT doc_id, source, sha256(start || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(start || coalesce(strlen(tampered) || ':' || tampered, '-')) AS presented FROM head),
+r AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+lv AS (SELECT tree, 0 AS level, idx, leaf AS h, n FROM r UNION ALL SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM lv WHERE n > 1 GROUP BY tree, level, idx // 3, n),
+sub AS (SELECT tree, h AS subroot FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS level, tree AS idx, subroot AS h, (SELECT count(*) FROM sub) AS n FROM sub UNION ALL SELECT level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM tv WHERE n > 1 GROUP BY level, idx // 3, n),
+steps AS (
+  SELECT r.tree, r.idx, 0 AS part, v.level, coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx < r.idx // (3 ** v.level)::BIGINT), '') AS b, coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx > r.idx // (3 ** v.level)::BIGINT), '') AS a
+  FROM r JOIN lv v ON v.tree = r.tree AND v.n > 1 AND v.idx // 3 = r.idx // (3 ** (v.level + 1))::BIGINT GROUP BY r.tree, r.idx, v.level
+  UNION ALL SELECT r.tree, r.idx, 1, v.level, coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx < r.tree // (3 ** v.level)::BIGINT), ''), coalesce(string_agg(v.h, '' ORDER BY v.idx) FILTER (v.idx > r.tree // (3 ** v.level)::BIGINT), '')
+  FROM r JOIN tv v ON v.n > 1 AND v.idx // 3 = r.tree // (3 ** (v.level + 1))::BIGINT GROUP BY r.tree, r.idx, v.level),
+p AS (SELECT tree, idx, string_agg(b || a, '' ORDER BY part, level) AS proof, list({'b': b, 'a': a} ORDER BY part, level) AS s FROM steps GROUP BY tree, idx),
+o AS (SELECT r.doc_id, r.leaf, sub.subroot, (SELECT h FROM tv WHERE n = 1) AS root, sha256(coalesce(p.proof, '')) AS proof_sha256,
+    list_reduce(list_prepend({'b': r.presented, 'a': ''}, coalesce(p.s, [])), lambda x, y: {'b': sha256(y.b || x.b || y.a), 'a': ''}).b AS folded_root
+  FROM r JOIN sub USING (tree) LEFT JOIN p ON p.tree = r.tree AND p.idx = r.idx)
+SELECT *, folded_root = root AS verified FROM o""",
+    "op13_leaks": r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT doc_id, s, n, array_to_string(w[s:s + n - 1], ' ') AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM t, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+found AS (SELECT dw.doc_id, dw.s, dw.n, iw.item_id FROM dw JOIN iw USING (n, win)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM found) GROUP BY doc_id),
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found) GROUP BY doc_id)
+SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)""",
 }
