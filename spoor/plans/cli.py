@@ -28,7 +28,7 @@ def main(args: list[str] | None = None) -> None:
         if step == "extract":
             extract_edges(store, config.extract.edge_move_threshold, config.extract.use_motion, roi)
         elif step == "solve":
-            solve_store(store, sets, config.solve.from_scratch, config.solve.clip_low_score, roi)
+            solve_store(store, sets, config.solve.from_scratch, config.solve.clip_low_score, roi, **config.solve.blocks())
         elif step == "evaluate":
             gt = to_graph(read_tracks(spark, given.annotation, roi=roi))
             e = config.evaluate

@@ -84,13 +84,28 @@ class SolveSection:
     greedy: bool = False
     clip_low_score: float | None = None
     from_scratch: bool = False
+    block_size: list | None = None
+    context: list | None = None
 
     def __post_init__(self):
+        if (self.block_size is None) != (self.context is None):
+            raise ValueError("block_size and context belong together")
+        for given in (self.block_size, self.context):
+            if given is not None and (len(given) != 4 or any(v is not None and v < 0 for v in given)):
+                raise ValueError("block_size and context have four values, t, z, y and x; 0 in a block's size: not cut")
+        if self.block_size and any(s and 2 * c > s for s, c in zip(self.block_size, self.context)):
+            raise ValueError("context can be half a block at most")
         if bool(self.parameters) + bool(self.search) + bool(self.grid) > 1:
             raise ValueError("parameters, search and grid exclude one another")
         if self.search and not self.num_configs:
             raise ValueError("a random search needs num_configs")
 
+    def blocks(self) -> dict:
+        """size and context of ``solve_store``; none are given where the config has none."""
+        if self.block_size is None:
+            return {}
+        return {"size": tuple(v or None for v in self.block_size), "context": tuple(self.context)}
+
     def sets(self) -> dict[int, SolveParameters]:
         if self.search:
             rows = random_configs(self.search, self.num_configs, self.seed)

@@ -528,6 +528,18 @@ def ilp_tracks(spark, sf_dir):
     return rounded(solve.solve(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), {1: TRACKING}).drop("component"), "cost")
 
 
+_FAMILIES = "".join(f" UNION ALL SELECT '{name}', count(*), 0 FROM {of}" for name, of in (
+    ("one_predecessor", "cells"), ("two_successors", "cells"), ("split_upper", "cells"), ("split_lower", "cells")))
+
+
+@query(f"{'WITH ' + _PLAIN} SELECT 'edge_endpoints' AS family, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_broken FROM near{_FAMILIES} UNION ALL SELECT 'gap', 0, 0")
+def ilp_basic(spark, sf_dir):
+    """The optimal forest at the weights of the basic problem: rows of each family of constraints, how many the chosen edges break, and how many components have a gap."""
+    cells, edges = tables.cells(spark, sf_dir), _candidates(spark, sf_dir)
+    found = cut(solve.solve(cells, edges, {1: BASIC}, roi=None))
+    return solve.checked(cells, edges, found).unionByName(found.agg(F.lit("gap").alias("family"), F.lit(0).cast("bigint").alias("n_rows"), F.count_distinct(F.when(F.col("gap") > 0, F.col("component"))).alias("n_broken")))
+
+
 # ---- parameters and results ----------------------------------------------
 
 

@@ -13,6 +13,8 @@ from ..operators.graph import selected_graph
 from ..operators.results import find_parameters, upsert, with_next_ids
 from ..streaming.ledger import finish, unfinished
 
+#: Flags are stored by parameter set and colour of their block, so that a solve writes its own part only.
+FLAG_PARTS = ["param_id", "colour"]
 TABLES = ("nodes", "edges", "selections", "parameters", "scores", "done", "meta")
 
 
@@ -64,17 +66,16 @@ class GraphStore:
         else:
             rows.write.mode("append").parquet(path)
 
-    def replace(self, name: str, rows: DataFrame) -> None:
+    def replace(self, name: str, rows: DataFrame, by: list[str] | None = None) -> None:
         """Write the next version; it counts once it is whole, and only then older ones go. A crash leaves the old or the new table."""
         before = self._version(name)
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/v{before + 1}")
+        rows.write.mode("overwrite").partitionBy(*(by or [])).parquet(f"{self.path}/{name}/v{before + 1}")
         for k in range(1, before + 1):
             self._delete(f"{name}/v{k}")
 
     def finished(self, step: str, blocks: DataFrame) -> None:
-        """Note in the ledger that a step is done with these blocks (block_id)."""
-        done = self.read("done") if self.has("done") else self.spark.createDataFrame([], "step string, block_id bigint")
-        self.replace("done", finish(done, blocks, step))
+        """Note in the ledger that a step is done with these blocks (block_id). Rows are only added, so that several writers lose none."""
+        self.write("done", finish(self.spark.createDataFrame([], "step string, block_id bigint"), self.open_blocks(step, blocks), step))
 
     def open_blocks(self, step: str, blocks: DataFrame) -> DataFrame:
         return unfinished(blocks, self.read("done"), step) if self.has("done") else blocks
@@ -90,14 +91,34 @@ class GraphStore:
         edges = edges.select("source", "target", *(edge_columns or [c for c in edges.columns if c not in ("source", "target")]))
         return nodes, edges.join(nodes.select(F.col("id").alias("source")), "source", "left_semi") if roi is not None else edges
 
+    def selections(self) -> DataFrame:
+        """All flags; none where nothing was solved yet."""
+        if self.has("selections"):
+            return self.read("selections")
+        return self.spark.createDataFrame([], "source bigint, target bigint, selected boolean, param_id bigint, colour int")
+
+    def write_flags(self, rows: DataFrame, param_id: int, colour: int) -> None:
+        """Flags (source, target, selected) of a parameter set, in place of those of this colour; other sets and colours stay."""
+        self.write("selections", rows.select("source", "target", "selected", F.lit(param_id).alias("param_id"), F.lit(colour).alias("colour")), by=FLAG_PARTS)
+
+    def flags(self, param_id: int, colours: list[int]) -> DataFrame | None:
+        """What is set already for a parameter set in blocks of these colours."""
+        if not colours or not self.has("selections"):
+            return None
+        return self.read("selections").filter((F.col("param_id") == param_id) & F.col("colour").isin(colours)).select("source", "target", "selected")
+
     def selected(self, param_id: int, roi: Roi | None = None) -> tuple[DataFrame, DataFrame]:
         nodes, edges = self.graph(roi)
-        return selected_graph(nodes, keep_incident(edges, nodes), self.read("selections"), param_id)
+        return selected_graph(nodes, keep_incident(edges, nodes), self.selections(), param_id)
 
     def reset_selection(self, param_ids: list[int] | None = None, roi: Roi | None = None) -> None:
         """Forget flags: of the given sets (or all), of edges whose source is in the box (or all); without a box the ledger forgets solving too."""
-        flags = self.read("selections")
-        self.replace("selections", reset(flags, None if roi is None else self.read("nodes").filter(roi.contains()), param_ids))
+        flags = self.selections()
+        kept = reset(flags, None if roi is None else self.read("nodes").filter(roi.contains()), param_ids)
+        if kept.isEmpty():
+            self._delete("selections")
+        else:
+            self.replace("selections", kept, by=FLAG_PARTS)
         if roi is None and self.has("done"):
             self.replace("done", self.read("done").filter(~F.col("step").startswith("solve")))
 

@@ -225,3 +225,42 @@ def test_forest_by_force():
         draw = lambda a, b: {v: rng.uniform(a, b) for v in frame}
         p = Instance(frame, draw(-4, 1), draw(0, 3), draw(-1, 2), parents, *((draw(-1, 1), draw(-1, 1)) if k % 2 else ({}, {})))
         assert abs(solve_forest(p)[1] - by_force(p)) < 1e-9
+
+
+def test_blocks_in_the_store_go_on_where_they_stopped(spark, tmp_path, monkeypatch):
+    from spoor.operators.solve import TooLarge
+    from spoor.plans import tracking
+    from spoor.sources.store import GraphStore
+
+    cells, edges = random_cells(random.Random(5), 8, 4, 9.0)
+    nodes, links = tables(spark, cells, edges)
+    p = SolveParameters(track_cost=1.2, weight_edge_score=0.5, weight_node_score=-0.5, selection_constant=-0.6)
+    other = SolveParameters(track_cost=4.0, weight_edge_score=0.1, weight_node_score=-0.1, selection_constant=-1.0)
+    store = GraphStore(spark, str(tmp_path / "db"), "w")
+    store.write("nodes", nodes, by=["t"])
+    store.write("edges", links)
+    tracking.solve_store(store, {2: other})
+    with pytest.raises(TooLarge):
+        tracking.solve_store(store, {1: p}, most_cells=1)
+    blocks = dict(size=(4, None, None, None), context=(2, 0, 0, 0), most_cells=1)
+    solved, ran = tracking.solve_colour, []
+
+    def once(*a, **b):
+        if len(ran) == 1:
+            raise RuntimeError("lost")
+        ran.append(a[6])
+        return solved(*a, **b)
+
+    monkeypatch.setattr(tracking, "solve_colour", once)
+    with pytest.raises(RuntimeError):
+        tracking.solve_store(store, {1: p}, **blocks)
+    ran.append(None)  # goes on, with the second colour only
+    tracking.solve_store(store, {1: p}, **blocks)
+    assert ran == [(0,), None, (1,)]
+    found = store.flags(1, [0, 1])
+    assert found.count() == len(edges) and chosen(found) == chosen(solve_blocks(nodes, links, {1: p}, (4, None, None, None), (2, 0, 0, 0)))
+    # the other set's flags were not touched, and a whole solve of it does not touch these
+    tracking.solve_store(store, {2: other}, from_scratch=True)
+    assert store.flags(1, [0, 1]).count() == len(edges) == store.flags(2, [-1]).count()
+    store.reset_selection()
+    assert store.selected(1)[1].count() == 0
