@@ -5,9 +5,10 @@ open). For every node the density is its characters per tag, adjusted by the
 characters and tags of its links: C/T * log_b((C/LC) * (T/LT)) with
 b = ln(C/nonLC * LC + LC_body/C_body * C + e). A node's density sum adds the
 densities of its children. The node of greatest sum is the content's centre,
-and the least density on its path to the body is the threshold: going down from
-the body, each node whose density reaches it contributes the subtree of
-greatest density sum in it. Elements that are no article whatever their density
+and the least density on its path to the body is the threshold: beside the path
+each highest node whose density reaches it is kept, with headings right before
+it. The centre itself is widened to the highest node above it whose density
+stays near its own, so that an article in several parts is kept whole. Elements that are no article whatever their density
 (scripts, styles, menus, headers of the page, footers, sidebars by tag or ARIA
 role, hidden ones) are not read at all.
 
@@ -214,19 +215,47 @@ def _misled(root: Node) -> list[Node]:
     return [node for node in path if node.hint and node.tag != "form" and inside[node] < inside[root]]
 
 
+#: Least density of a node above the centre, as a share of the centre's, that still belongs to the article.
+WIDEN = 0.5
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def _dense(root: Node) -> list[Node]:
-    """The subtrees that the densities choose, in page order."""
+    """The subtrees that the densities choose, in page order.
+
+    The centre is widened to the highest node above it, below the body, whose
+    density and those between stay near the centre's: parts, leads and titles of
+    one article. Blocks beside the centre in there that are mostly links are out.
+    """
     centre = root.best
     if centre is root:
         return [root]
-    threshold = min(node.density for node in _path(centre)[:-1])
-    found, todo = [], [root]
+    path = _path(centre)[:-1]
+    threshold = min(node.density for node in path)
+    high = 0
+    while high + 1 < len(path) and path[high + 1].density >= WIDEN * centre.density:
+        high += 1
+    on_path, top = set(path), path[high]
+    for node in path[1 : high + 1]:
+        for c in node.children:
+            if isinstance(c, Node) and not c.flat and c not in on_path and 2 * c.link_chars > c.chars:
+                c.out = True
+    found, todo, titles = [], [root], set()
     while todo:
         node = todo.pop()
-        if node is not root and node.chars and node.density >= threshold:
-            found.append(node.best)
-        else:
-            todo.extend(reversed([c for c in node.children if isinstance(c, Node) and not c.out and not c.flat]))
+        if node is top or node in titles or node not in on_path and node is not root and node.chars and node.density >= threshold:
+            found.append(node)
+            continue
+        blocks = [c for c in node.children if isinstance(c, Node) and not c.out and not c.flat]
+        before_kept = False
+        for c in reversed(blocks):  # headings right before what is kept
+            if c is top or c in on_path and node is not root or c not in on_path and c.chars and c.density >= threshold:
+                before_kept = True
+            elif c.tag in _HEADINGS and before_kept:
+                titles.add(c)
+            elif c.chars:
+                before_kept = False
+        todo.extend(reversed(blocks))
     return found
 
 

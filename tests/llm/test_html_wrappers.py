@@ -1,5 +1,7 @@
 """Names of layout wrappers must not decide over the article; names of side matter still do."""
 
+import re
+
 import pytest
 
 from spoor.llm import html
@@ -34,3 +36,26 @@ def test_long_comments_stay_out():
     comments = "".join(f"<article class='comment'><p>Reader {i} says that this was a fine article and goes on about it at length.</p></article>" for i in range(40))
     text = html.main_text(f"<main><article>{BODY}</article><div id='comments'>{comments}</div></main>")
     assert "Sentence number 7" in text and "Reader" not in text
+
+
+def _paragraphs(n, words=40):
+    return "".join(f"<p>{' '.join(f'word{k}x{i}' for k in range(words))}.</p>" for i in range(n))
+
+
+LEAD = f"<p>{' '.join(['lead'] * 30)}</p>"
+NAV = "<div><a href=a>Home page</a> <a href=b>All news</a> <a href=c>Contact us</a></div>"
+END = "<div><a href=d>Terms</a> and <a href=e>imprint</a></div>"
+
+
+@pytest.mark.parametrize("around", ["{}", NAV + "{}" + END, "<div>" + NAV + "{}" + END + "</div>", "<div>" + NAV + "</div><div>{}<div><a href=a>See this</a> <a href=b>and that too</a></div></div>" + END])
+@pytest.mark.parametrize("article", [
+    f"<article><h1>A title</h1><section>{_paragraphs(6)}</section><section>{_paragraphs(6)}</section></article>",
+    f"<main><h1>A title</h1><section><h2>One</h2>{_paragraphs(4)}</section><section><h2>Two</h2>{_paragraphs(6)}</section><section><h2>Three</h2>{_paragraphs(5)}</section></main>",
+    f"<div class='article'><div class='lead'><h1>A title</h1>{LEAD}</div><div class='text'>{_paragraphs(6)}</div></div>",
+    f"<div id='wrap'><h1>A title</h1><div class='part1'>{LEAD}</div><div class='part2'>{_paragraphs(8)}</div></div>",
+    f"<div><h1>A title</h1><h2>More</h2><div>{_paragraphs(3)}</div><div>{_paragraphs(3)}</div><div>{_paragraphs(3)}</div></div>",
+])
+def test_articles_in_several_parts_are_kept_whole(article, around):
+    """Exactly the article, whatever unnamed neighbours it has."""
+    whole = " ".join(re.sub("<[^>]+>", " ", article).split())
+    assert html.main_text("<html><body>" + around.format(article) + "</body></html>") == whole
