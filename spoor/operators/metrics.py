@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from math import log
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.roi import distance2
-from ..plans.components import broadcast_if_small, connected_components, cut
+from ..plans.components import connected_components, cut
 from .graph import divisions, split_edges, tracks
 from .spatial import range_join
 
@@ -150,6 +150,45 @@ def split_tracks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 FAR = 50.0 + 50.0 * log(1e9) / log(9999.0)
 
 
+def least_outside(spans: DataFrame, asked: DataFrame) -> DataFrame:
+    """(from, to, least) of every span of frames in ``asked`` (from, to): the least number of frames that one of ``spans`` has outside it.
+
+    A span inside has none; one that begins and ends earlier has at most the
+    frames before ``from``, one that begins and ends later at most those behind
+    ``to``, one around it those on both sides; one that does not touch has all
+    its frames. Each is a least or greatest over spans that begin and end on one
+    side of (from, to): running minima along one axis of a table of all pairs of
+    frames, then along the other. The table grows with the square of the number
+    of frames, and no window has more rows than frames.
+    """
+    both = spans.select("from", "to").union(asked.select("from", "to")).agg(F.min("from").alias("low"), F.max("to").alias("high")).first()
+    low, high = both["low"], both["high"]
+    if low is None:
+        return asked.select("from", "to", F.lit(None).cast("bigint").alias("least"))
+    there = spans.select(F.col("from").cast("bigint").alias("from"), F.col("to").cast("bigint").alias("to")).distinct().withColumn("is", F.lit(True))
+    frames = F.sequence(F.lit(low).cast("bigint"), F.lit(high).cast("bigint"))
+    pairs = spans.sparkSession.range(low, high + 1).select(F.col("id").alias("from"), F.explode(frames).alias("to")).join(there, ["from", "to"], "left")
+    begin, end, span = (F.when(F.col("is"), c) for c in (F.col("from"), F.col("to"), F.col("to") - F.col("from")))
+    one = lambda up: Window.partitionBy("from").orderBy("to" if up else F.desc("to"))
+    two = lambda up: Window.partitionBy("to").orderBy("from" if up else F.desc("from"))
+    along = pairs.select(
+        "from", "to", F.max(begin).over(one(True)).alias("earlier"), F.min(end).over(one(False)).alias("later"), F.max(begin).over(one(True)).alias("inside"), F.min(span).over(one(False)).alias("around"),
+    )
+    table = along.select(
+        "from", "to", F.max("earlier").over(two(True)).alias("earlier"), F.min("later").over(two(False)).alias("later"), F.max("inside").over(two(False)).alias("inside"), F.min("around").over(two(True)).alias("around"),
+    )
+    # One row a frame.
+    length = F.col("to") - F.col("from") + 1
+    before = there.groupBy("to").agg(F.min(length).alias("n")).select((F.col("to") + 1).alias("frame"), "n")
+    behind = there.groupBy("from").agg(F.min(length).alias("n")).select((F.col("from") - 1).alias("frame"), "n")
+    each = spans.sparkSession.range(low, high + 1).withColumnRenamed("id", "frame")
+    running = lambda rows, name, order: each.join(rows, "frame", "left").select("frame", F.min("n").over(Window.orderBy(order)).alias(name))
+    out = asked.select("from", "to").distinct().join(table, ["from", "to"])
+    out = out.join(running(before, "before", F.col("frame")).withColumnRenamed("frame", "from"), "from", "left").join(running(behind, "behind", F.desc("frame")).withColumnRenamed("frame", "to"), "to", "left")
+    ways = [F.when(F.col("inside").isNotNull(), F.lit(0)), F.col("from") - F.col("earlier"), F.col("later") - F.col("to"), F.col("around") - (F.col("to") - F.col("from")), F.col("before"), F.col("behind")]
+    return out.select("from", "to", F.least(*ways).cast("bigint").alias("least"))
+
+
 def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     """(track, score): for each annotated track the least distance to a reconstructed one.
 
@@ -158,9 +197,8 @@ def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     frame in which two tracks are further apart than ``FAR`` counts as 1, so the
     distance is n1 + n2 - c less what the near frames fall short of 1: near
     frames come from a range join, c from the frames the tracks begin and end
-    in. Pairs without a near frame depend on those alone, so their least is
-    taken over the kinds of reconstructed tracks by (begin, end): a table that
-    grows with the square of the number of frames, not with the tracks. A track
+    in. Pairs without a near frame depend on those alone, so their least comes
+    from ``least_outside``, a table with a row for each pair of frames. A track
     with gaps is an error, and so is no reconstructed track at all.
     """
     number = lambda d, p: d.select(F.col("track").alias(p + "id"), F.col("t").alias(p + "t"), *[F.col(c).alias(p + c) for c in ("z", "y", "x")])
@@ -180,8 +218,8 @@ def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     far = (F.col("g_n") + F.col("r_n") - common).cast("double")
     scored = short.join(ng, F.col("a_id") == F.col("g_track")).join(nr, F.col("b_id") == F.col("r_track"))
     least = scored.groupBy("g_track").agg(F.min(far - F.col("short")).alias("near"))
-    kinds = lambda d, p: d.select(p + "n", p + "from", p + "to").distinct()
-    # Both sides are kinds of tracks: at most one for each pair of frames.
-    by_kind = kinds(ng, "g_").join(broadcast_if_small(cut(kinds(nr, "r_"))), F.lit(True)).groupBy("g_from", "g_to").agg(F.min(far).alias("any"))
+    table = least_outside(nr.select(F.col("r_from").alias("from"), F.col("r_to").alias("to")), ng.select(F.col("g_from").alias("from"), F.col("g_to").alias("to")))
+    by_kind = table.select(F.col("from").alias("g_from"), F.col("to").alias("g_to"), "least")
     out = ng.join(by_kind, ["g_from", "g_to"]).join(least, "g_track", "left")
-    return out.select(F.col("g_track").alias("track"), F.least(F.coalesce("near", "any"), "any").alias("score"))
+    anyone = (F.col("g_n") + F.col("least")).cast("double")
+    return out.select(F.col("g_track").alias("track"), F.least(F.coalesce("near", anyone), anyone).alias("score"))

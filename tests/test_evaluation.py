@@ -144,3 +144,19 @@ def test_track_distances_by_force(spark):
     g, r = graph(spark, gr, ge), graph(spark, rr, re)
     got = sorted(x["score"] for x in validation_score(split_tracks(g.nodes, g.edges), split_tracks(r.nodes, r.edges)).collect())
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_least_outside_by_force(spark):
+    """Every pair of spans, against the running minima."""
+    import random
+
+    from spoor.operators.metrics import least_outside
+
+    rng = random.Random(8)
+    for n in (1, 3, 12):
+        span = lambda: tuple(sorted((rng.randrange(3, 20), rng.randrange(3, 20))))
+        rec, gt = {span() for _ in range(n)}, {span() for _ in range(25)}
+        least = {g: min(r[1] - r[0] + 1 - max(0, min(r[1], g[1]) - max(r[0], g[0]) + 1) for r in rec) for g in gt}
+        found = least_outside(spark.createDataFrame(sorted(rec), "from bigint, to bigint"), spark.createDataFrame(sorted(gt), "from bigint, to bigint"))
+        assert {(r["from"], r["to"]): r["least"] for r in found.collect()} == least
+        assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
