@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType
 
@@ -22,6 +23,12 @@ def cut(df: DataFrame, _round: int = 0) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the checkpoint folder, which driver and executors share."""
+    cut(spark.range(1))  # sets the folder, or tells that there is none
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def join_by_key(rows: DataFrame, one_per_key: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join on the key wrapped in a struct: both sides are dealt anew, so that AQE may split a key with very many rows,
     which it cannot where an aggregate's own partitions are joined in place."""

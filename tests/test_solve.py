@@ -177,6 +177,7 @@ def test_greedy_by_rounds(spark):
     for new in (True, False):
         one = pairs(greedy_track(nodes, links, "distance", 0.3, new))
         assert one == pairs(greedy_track(nodes, links, "distance", 0.3, new, few=-1)) and one
+        assert one == pairs(greedy_track(nodes, links, "distance", 0.3, new, few=12))  # several runs of frames, and larger frames by rounds
 
 
 def test_assignment_by_hand_and_by_force():
@@ -264,3 +265,10 @@ def test_blocks_in_the_store_go_on_where_they_stopped(spark, tmp_path, monkeypat
     assert store.flags(1, [0, 1]).count() == len(edges) == store.flags(2, [-1]).count()
     store.reset_selection()
     assert store.selected(1)[1].count() == 0
+
+
+def test_runs_of_frames():
+    from spoor.operators.greedy import runs_of
+
+    assert runs_of([9, 8, 7, 6, 5, 4], {9: 3, 8: 4, 6: 9, 5: 1, 4: 2}, 7) == [[9, 8, 7], [6], [5, 4]]
+    assert [t for run in runs_of(list(range(30)), {t: t % 5 for t in range(30)}, 6) for t in run] == list(range(30))
