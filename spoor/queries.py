@@ -222,6 +222,16 @@ def objective_basic(spark, sf_dir):
     return rounded(objective.objective(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), BASIC, BOX).fillna(-1, ["other"]), "coef")
 
 
+LOGS = objective.SolveParameters(track_cost=4.0, weight_edge_score=0.1, weight_node_score=-0.1, selection_constant=-1.0, feature_func="log")
+
+
+@query(f"""WITH {_PLAIN} SELECT 'node_selected' AS kind, id, {_NONE}, CASE WHEN score > 0 THEN round(ln(score) * -0.1::DOUBLE + -1.0::DOUBLE, 6) ELSE 'Infinity'::DOUBLE END AS coef FROM cells
+UNION ALL SELECT 'node_appear', id, -1, CASE WHEN {_FREE} THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END FROM cells UNION ALL SELECT 'node_split', id, -1, 1.0::DOUBLE FROM cells
+UNION ALL SELECT 'edge_selected', source, target, CASE WHEN prediction_distance > 0 THEN round(ln(prediction_distance) * 0.1::DOUBLE, 6) ELSE '-Infinity'::DOUBLE END FROM near""")
+def objective_log(spark, sf_dir):
+    return rounded(objective.objective(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), LOGS).fillna(-1, ["other"]), "coef")
+
+
 def _with_states(cells: DataFrame) -> DataFrame:
     return cells.withColumn("score_mother", F.col("z") / 100).withColumn("score_daughter", F.col("score") / 2).withColumn("score_continuation", 1 - F.col("score"))
 
