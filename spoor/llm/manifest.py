@@ -36,8 +36,10 @@ from .common import broadcast_if_small, written
 #: Children of a node, and levels that a group of slots reduces at once.
 WAYS, LEVELS = 3, 4
 SLOTS = WAYS**LEVELS
-#: Containers that a join may broadcast: 12 kB each at most.
+#: Containers that a join may broadcast: 20 kB each at most.
 FEW_CONTAINERS = 4096
+#: Trees whose paths a join may broadcast: about 1 kB each.
+FEW_PATHS = 20_000
 
 
 def sha(text: Column) -> Column:
@@ -207,7 +209,7 @@ def paths(rounds: list[DataFrame], above: DataFrame, name: str) -> DataFrame:
     """The leaves' rows with ``tree``, ``at`` and ``path``; ``above`` has (tree, path) from a tree's root on."""
     down = None
     for k in range(len(rounds) - 1, -1, -1):
-        here = rounds[k].filter(F.col("height") <= (k + 1) * LEVELS).join(broadcast_if_small(above), "tree")
+        here = rounds[k].filter(F.col("height") <= (k + 1) * LEVELS).join(broadcast_if_small(above, FEW_PATHS), "tree")
         if down is not None:
             here = here.unionByName(rounds[k].filter(F.col("height") > (k + 1) * LEVELS).join(down, ["tree", "block"]).select(*here.columns))
         each = here.select("tree", F.col("block").alias("of"), F.explode(_handed(F.col("path"), k * LEVELS)).alias("x"))
