@@ -6,6 +6,7 @@ x_source, x_target, y_source, y_target. All are joins and groupings by node.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 from pyspark.sql import Column, DataFrame, Window
@@ -189,37 +190,96 @@ def least_outside(spans: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("from", "to", F.least(*ways).cast("bigint").alias("least"))
 
 
+def frame_runs(cells: DataFrame) -> DataFrame:
+    """(track, n, from, to, runs, gaps) of (track, t): the frames of each track as runs [(from, to)] of frames without a gap, in order; two cells of one track in a frame are an error."""
+    placed = cells.select("track", F.col("t").cast("bigint").alias("t"), F.dense_rank().over(Window.partitionBy("track").orderBy("t")).alias("k"))
+    runs = placed.groupBy("track", (F.col("t") - F.col("k")).alias("_run")).agg(F.min("t").alias("from"), F.max("t").alias("to"), F.count(F.lit(1)).alias("n"))
+    runs = runs.withColumn("n", F.when(F.col("n") != F.col("to") - F.col("from") + 1, F.raise_error(F.lit("a track has two cells in a frame")).cast("bigint")).otherwise(F.col("n")))
+    told = runs.groupBy("track").agg(F.sum("n").alias("n"), F.min("from").alias("from"), F.max("to").alias("to"), F.array_sort(F.collect_list(F.struct("from", "to"))).alias("runs"))
+    return told.withColumn("gaps", F.size("runs") > 1)
+
+
+def with_stop(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (g_runs, r_runs, ...) with ``stop`` and ``together``: two tracks are compared up to the first frame that the one which begins later has and the other has not.
+
+    That frame is ``stop`` (null where there is none), and the frames of the
+    later one before it, all of them common, number ``together``. Of two that
+    begin together the annotated one counts as the earlier.
+    """
+    begins = lambda c: F.element_at(c, 1)["from"]
+    first = begins(F.col("g_runs")) <= begins(F.col("r_runs"))
+    rows = pairs.withColumn("_early", F.when(first, F.col("g_runs")).otherwise(F.col("r_runs"))).withColumn("_late", F.when(first, F.col("r_runs")).otherwise(F.col("g_runs")))
+
+    def missing(run: Column) -> Column:
+        there = F.filter("_early", lambda e: (e["from"] <= run["from"]) & (run["from"] <= e["to"]))
+        end = F.get(there, F.lit(0))["to"]
+        return F.when(end.isNull(), run["from"]).when(end < run["to"], end + 1)
+
+    rows = rows.withColumn("stop", F.array_min(F.transform("_late", missing)))
+    before = lambda run: F.greatest(F.lit(0), F.least(run["to"], F.col("stop") - 1) - run["from"] + 1)
+    return rows.withColumn("together", F.aggregate("_late", F.lit(0).cast("bigint"), lambda n, run: n + before(run))).drop("_early", "_late")
+
+
+def _least_with_gaps(kinds_g: DataFrame, kinds_r: DataFrame) -> DataFrame:
+    """(g_runs, with_gaps): the least number of frames that a reconstructed track compared with one of these frames has outside those compared, over pairs with a gap on either side.
+
+    Only pairs whose later one begins in a frame of the other compare any: a
+    join by that frame, of the distinct sets of frames on either side.
+    """
+    g, r = kinds_g.withColumn("g_from", F.element_at("g_runs", 1)["from"]), kinds_r.withColumn("r_from", F.element_at("r_runs", 1)["from"])
+    at = lambda runs: F.explode(F.flatten(F.transform(runs, lambda run: F.sequence(run["from"], run["to"])))).alias("at")
+    r_later = g.select("*", at("g_runs")).join(r, F.col("at") == F.col("r_from"))
+    g_later = r.select("*", at("r_runs")).join(g, (F.col("at") == F.col("g_from")) & (F.col("r_from") < F.col("g_from")))
+    columns = ["g_runs", "r_runs", "r_n"]
+    some = lambda d: d.filter((F.size("g_runs") > 1) | (F.size("r_runs") > 1)).select(*columns)
+    return with_stop(some(r_later).union(some(g_later))).groupBy("g_runs").agg(F.min(F.col("r_n") - F.col("together")).alias("with_gaps"))
+
+
 def validation_score(gt_tracks: DataFrame, rec_tracks: DataFrame) -> DataFrame:
     """(track, score): for each annotated track the least distance to a reconstructed one.
 
-    For tracks without gaps the distance is n1 + n2 - 2c + the sum over the c
-    common frames of the normed distances; without a common frame, n1 + n2. A
-    frame in which two tracks are further apart than ``FAR`` counts as 1, so the
-    distance is n1 + n2 - c less what the near frames fall short of 1: near
-    frames come from a range join, c from the frames the tracks begin and end
-    in. Pairs without a near frame depend on those alone, so their least comes
-    from ``least_outside``, a table with a row for each pair of frames. A track
-    with gaps is an error, and so is no reconstructed track at all.
+    Two tracks are compared in the c frames they share up to the first one that
+    the later of them has alone (``with_stop``); without gaps these are all the
+    frames they share. The distance is n1 + n2 - 2c + the sum over the c frames
+    of the normed distances. A frame in which two tracks are further apart than
+    ``FAR`` counts as 1, so the distance is n1 + n2 - c less what the near frames
+    fall short of 1: near frames come from a range join, c from the runs of
+    frames the tracks have. Pairs without a near frame depend on those alone: for
+    tracks without gaps their least comes from ``least_outside``, a table with a
+    row for each pair of frames, for the others from a join of distinct sets of
+    frames. Two cells of one track in a frame are an error, and so is no
+    reconstructed track at all.
     """
     number = lambda d, p: d.select(F.col("track").alias(p + "id"), F.col("t").alias(p + "t"), *[F.col(c).alias(p + c) for c in ("z", "y", "x")])
     g, r = cut(gt_tracks), cut(rec_tracks)
-
-    def spans(d: DataFrame, p: str) -> DataFrame:
-        told = d.groupBy("track").agg(F.count(F.lit(1)).alias(p + "n"), F.min("t").alias(p + "from"), F.max("t").alias(p + "to"))
-        whole = F.when(F.col(p + "n") != F.col(p + "to") - F.col(p + "from") + 1, F.raise_error(F.lit("a track has gaps")).cast("bigint")).otherwise(F.col(p + "n"))
-        return cut(told.withColumn(p + "n", whole).withColumnRenamed("track", p + "track"))
-
+    spans = lambda d, p: cut(frame_runs(d).select(*[F.col(c).alias(p + c) for c in ("track", "n", "from", "to", "runs", "gaps")]))
     ng, nr = spans(g, "g_"), spans(r, "r_")
-    if nr.isEmpty():
+    shortest = nr.agg(F.min("r_n")).first()[0]
+    if shortest is None:
         raise ValueError("no reconstructed track")
-    near = range_join(number(g, "a_"), number(r, "b_"), FAR, FAR)
-    short = near.groupBy("a_id", "b_id").agg(F.sum(1.0 - norm_distance(F.sqrt(distance2()))).alias("short"))
+    near = range_join(number(g, "a_"), number(r, "b_"), FAR, FAR).withColumn("short", 1.0 - norm_distance(F.sqrt(distance2())))
+    gaps = not (ng.filter("g_gaps").isEmpty() and nr.filter("r_gaps").isEmpty())
+    parts = []
+    if gaps:
+        marked = cut(near.join(ng.filter("g_gaps").select(F.col("g_track").alias("a_id"), "g_gaps"), "a_id", "left").join(nr.filter("r_gaps").select(F.col("r_track").alias("b_id"), "r_gaps"), "b_id", "left"))
+        near = marked.filter("g_gaps is null and r_gaps is null")
+        broken = marked.filter("g_gaps or r_gaps").select("a_id", "b_id", "a_t", "short")
+        stops = with_stop(broken.select("a_id", "b_id").distinct().join(ng, F.col("a_id") == F.col("g_track")).join(nr, F.col("b_id") == F.col("r_track")))
+        stops = stops.select("a_id", "b_id", "stop", (F.col("g_n") + F.col("r_n") - F.col("together")).cast("double").alias("far"))
+        compared = broken.join(stops, ["a_id", "b_id"]).filter("stop is null or a_t < stop")
+        parts.append(compared.groupBy("a_id", "b_id").agg((F.first("far") - F.sum("short")).alias("d")).select(F.col("a_id").alias("g_track"), "d"))
+    short = near.groupBy("a_id", "b_id").agg(F.sum("short").alias("short"))
     common = F.greatest(F.lit(0), F.least("g_to", "r_to") - F.greatest("g_from", "r_from") + 1)
     far = (F.col("g_n") + F.col("r_n") - common).cast("double")
-    scored = short.join(ng, F.col("a_id") == F.col("g_track")).join(nr, F.col("b_id") == F.col("r_track"))
-    least = scored.groupBy("g_track").agg(F.min(far - F.col("short")).alias("near"))
-    table = least_outside(nr.select(F.col("r_from").alias("from"), F.col("r_to").alias("to")), ng.select(F.col("g_from").alias("from"), F.col("g_to").alias("to")))
+    parts.append(short.join(ng, F.col("a_id") == F.col("g_track")).join(nr, F.col("b_id") == F.col("r_track")).select("g_track", (far - F.col("short")).alias("d")))
+    least = reduce(DataFrame.union, parts).groupBy("g_track").agg(F.min("d").alias("near"))
+    whole_g, whole_r = (ng.filter("not g_gaps"), nr.filter("not r_gaps")) if gaps else (ng, nr)
+    table = least_outside(whole_r.select(F.col("r_from").alias("from"), F.col("r_to").alias("to")), whole_g.select(F.col("g_from").alias("from"), F.col("g_to").alias("to")))
     by_kind = table.select(F.col("from").alias("g_from"), F.col("to").alias("g_to"), "least")
-    out = ng.join(by_kind, ["g_from", "g_to"]).join(least, "g_track", "left")
-    anyone = (F.col("g_n") + F.col("least")).cast("double")
-    return out.select(F.col("g_track").alias("track"), F.least(F.coalesce("near", anyone), anyone).alias("score"))
+    out = ng.join(by_kind, ["g_from", "g_to"], "left").withColumn("least", F.when(~F.col("g_gaps"), F.col("least")))
+    if gaps:
+        kinds_g, kinds_r = cut(ng.select("g_runs").distinct()), cut(nr.select("r_runs", "r_n").distinct())
+        out = out.join(_least_with_gaps(kinds_g, kinds_r), "g_runs", "left").withColumn("least", F.least("least", "with_gaps"))
+    anyone = (F.col("g_n") + F.least("least", F.lit(shortest))).cast("double")
+    out = out.join(least, "g_track", "left")
+    return out.select(F.col("g_track").alias("track"), F.least("near", anyone).alias("score"))

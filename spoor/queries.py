@@ -461,6 +461,25 @@ def validation_score(spark, sf_dir):
     return rounded(found, "score").groupBy("score").agg(F.count(F.lit(1)).alias("n_tracks"))
 
 
+def _user_tracks(spark, sf_dir, rank: int) -> DataFrame:
+    """(track, t, z, y, x): a user's cells of one rank by day; days without one are gaps."""
+    return tables.tracks_file(spark, sf_dir).filter(F.col("rk") == rank).select(F.col("y").cast("bigint").alias("track"), "t", "z", "y", "x")
+
+
+@query(f"""WITH {_CELLS}, k AS (SELECT CAST(y AS BIGINT) AS track, t, z, y, x, row_number() OVER (PARTITION BY y, t ORDER BY id) AS rk FROM cells),
+g AS (SELECT * FROM k WHERE rk = 1), r AS (SELECT * FROM k WHERE rk = 2), gh AS (SELECT track, min(t) AS f, count(*) AS n FROM g GROUP BY track), rh AS (SELECT track, min(t) AS f, count(*) AS n FROM r GROUP BY track),
+p AS (SELECT gh.track AS gt, rh.track AS rt, gh.n AS gn, rh.n AS rn, gh.f <= rh.f AS g_first FROM gh, rh),
+a AS (SELECT gt, rt, r.t FROM p JOIN r ON g_first AND r.track = rt LEFT JOIN g ON g.track = gt AND g.t = r.t WHERE g.t IS NULL
+  UNION ALL SELECT gt, rt, g.t FROM p JOIN g ON NOT g_first AND g.track = gt LEFT JOIN r ON r.track = rt AND r.t = g.t WHERE r.t IS NULL),
+s AS (SELECT gt, rt, min(t) AS stop FROM a GROUP BY gt, rt),
+c AS (SELECT p.gt, p.rt, count(*) AS c, sum(1.0::DOUBLE / (1.0::DOUBLE + exp(-(ln(9999.0::DOUBLE) / 50) * (sqrt((g.z-r.z)*(g.z-r.z)+(g.y-r.y)*(g.y-r.y)+(g.x-r.x)*(g.x-r.x)) - 50)))) AS d
+  FROM p LEFT JOIN s ON s.gt = p.gt AND s.rt = p.rt JOIN g ON g.track = p.gt JOIN r ON r.track = p.rt AND r.t = g.t WHERE s.stop IS NULL OR g.t < s.stop GROUP BY p.gt, p.rt)
+SELECT p.gt AS track, round(min(gn + rn - 2 * coalesce(c, 0) + coalesce(d, 0.0)), 6) AS score FROM p LEFT JOIN c ON c.gt = p.gt AND c.rt = p.rt GROUP BY p.gt""")
+def validation_score_gaps(spark, sf_dir):
+    """Tracks with gaps: each user's first cell of a day against the users' second cells."""
+    return rounded(metrics.validation_score(_user_tracks(spark, sf_dir, 1), _user_tracks(spark, sf_dir, 2)), "score")
+
+
 _REPORT = """SELECT {k} AS leniency, g AS gt_total, r AS rec_total, {fp} AS fp, {fn} AS fn, round((r - {fp}) / CAST(nullif(r, 0) AS DOUBLE), 6) AS precision, round((g - {fn}) / CAST(nullif(g, 0) AS DOUBLE), 6) AS recall,
 round(2 * ((r - {fp}) / CAST(nullif(r, 0) AS DOUBLE)) * ((g - {fn}) / CAST(nullif(g, 0) AS DOUBLE)) / nullif((r - {fp}) / CAST(nullif(r, 0) AS DOUBLE) + (g - {fn}) / CAST(nullif(g, 0) AS DOUBLE), 0), 6) AS f1 FROM n"""
 

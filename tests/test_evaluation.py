@@ -160,3 +160,43 @@ def test_least_outside_by_force(spark):
         found = least_outside(spark.createDataFrame(sorted(rec), "from bigint, to bigint"), spark.createDataFrame(sorted(gt), "from bigint, to bigint"))
         assert {(r["from"], r["to"]): r["least"] for r in found.collect()} == least
         assert "CartesianProduct" not in found._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in found._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.25, 1.0])
+def test_distances_of_tracks_with_gaps_by_force(spark, share):
+    """Both sides mixed from tracks with and without gaps; tracks of one frame and equal sets of frames occur."""
+    import math
+    import random
+
+    from spoor.operators.metrics import validation_score
+
+    rng = random.Random(17)
+
+    def some(n):
+        out = {}
+        for k in range(n):
+            start, length, x = rng.randrange(4), rng.randrange(1, 9), rng.uniform(0, 900)
+            frames = [t for t in range(start, start + length) if rng.random() >= share / 3 or t == start]
+            out[k] = {t: (0.0, 0.0, x + rng.uniform(-9, 9)) for t in frames}
+        return out
+
+    def distance(a, b):
+        early, late = (a, b) if min(a) <= min(b) else (b, a)
+        stop = min(late.keys() - early.keys(), default=math.inf)
+        shared = [t for t in late if t < stop]
+        return len(a) + len(b) - 2 * len(shared) + sum(1 / (1 + math.exp(-math.log(9999) / 50 * (math.dist(a[t], b[t]) - 50))) for t in shared)
+
+    table = lambda tracks: spark.createDataFrame([(k, t, *at) for k, cells in tracks.items() for t, at in cells.items()], "track bigint, t int, z double, y double, x double")
+    gt, rec = some(30), some(20)
+    found = validation_score(table(gt), table(rec))
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    got = {r["track"]: r["score"] for r in found.collect()}
+    assert got == pytest.approx({k: min(distance(a, b) for b in rec.values()) for k, a in gt.items()}, abs=1e-6)
+
+
+def test_two_cells_of_a_track_in_a_frame_are_an_error(spark):
+    from spoor.operators.metrics import validation_score
+
+    rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 0, 0.0, 0.0, 1.0)], "track bigint, t int, z double, y double, x double")
+    with pytest.raises(Exception, match="two cells in a frame"):
+        validation_score(rows, rows).collect()
