@@ -716,6 +716,33 @@ def rasterize_point(spark, sf_dir):
     return arrays.rasterize_points(tables.cells(spark, sf_dir), (5.0, 1.0, 1.0))
 
 
+#: Lines of the annotation's edges in voxels of 5 x 1 x 20, coloured by track: the least id of its cells.
+_LINES = f"""WITH RECURSIVE {_TRACKS}, w AS (SELECT id, id AS root FROM gn WHERE id NOT IN (SELECT source FROM ge) UNION ALL SELECT ge.source, w.root FROM w JOIN ge ON ge.target = w.id),
+lab AS (SELECT id, min(id) OVER (PARTITION BY root) AS label FROM w), v AS (SELECT id, CAST(t AS BIGINT) AS t, CAST(floor(z / 5.0) AS BIGINT) AS z, CAST(floor(y / 1.0) AS BIGINT) AS y, CAST(floor(x / 20.0) AS BIGINT) AS x, label FROM gn JOIN lab USING (id)),
+e AS (SELECT source, target, s.label, o.t, o.z, o.y, o.x, s.t - o.t AS dt, s.z - o.z AS dz, s.y - o.y AS dy, s.x - o.x AS dx, greatest(abs(s.t - o.t), abs(s.z - o.z), abs(s.y - o.y), abs(s.x - o.x)) AS n FROM ge JOIN v s ON s.id = source JOIN v o ON o.id = target),
+l AS (SELECT source, target, label, {', '.join(f'CAST(round_even({a} + k * (d{a} / CAST(n AS DOUBLE)), 0) AS BIGINT) AS {a}' for a in 'tzyx')} FROM (SELECT *, unnest(range(n + 1)) AS k FROM e)),
+spot AS (SELECT t, z, y, x, label, 0 AS r, id AS a, id AS b FROM v UNION ALL SELECT t, z, y, x, label, 1, source, target FROM l),
+painted AS (SELECT t, z, y, x, label FROM (SELECT *, row_number() OVER (PARTITION BY t, z, y, x ORDER BY r DESC, a DESC, b DESC) AS k FROM spot) WHERE k = 1)"""
+
+
+def _coloured(spark, sf_dir):
+    g = tables.gt(spark, sf_dir)
+    colours = cut(graph.tracks(g.nodes, g.edges).withColumnRenamed("track", "label"))
+    return g.nodes.join(colours, "id"), g.edges.join(colours.withColumnRenamed("id", "source"), "source")
+
+
+@query(f"{_LINES} SELECT t, z, y, x, label FROM painted")
+def rasterize_lines(spark, sf_dir):
+    return arrays.rasterize_graph(*_coloured(spark, sf_dir), (5.0, 1.0, 20.0))
+
+
+@query(f"""{_LINES}, near AS (SELECT t, z + a.a AS z, y + b.b AS y, x, a.a * 5 * a.a * 5 + b.b * b.b AS d2, label FROM painted, range(-1, 2) a(a), range(-5, 6) b(b) WHERE a.a * 5 * a.a * 5 + b.b * b.b <= 25),
+grown AS (SELECT t, z, y, x, d2, label FROM (SELECT *, row_number() OVER (PARTITION BY t, z, y, x ORDER BY d2, label) AS k FROM near) WHERE k = 1) SELECT t, z, y, x, label FROM grown WHERE d2 > 6.25""")
+def rasterize_tubes(spark, sf_dir):
+    """Hollow tubes around the lines."""
+    return arrays.rasterize_graph(*_coloured(spark, sf_dir), (5.0, 1.0, 20.0), radius=5.0, hollow=0.5)
+
+
 def _spots(n: str, r: int) -> str:
     reach = f"range({-r - 1}, {r + 2})"
     return f"""spots AS (SELECT * FROM (SELECT {n}.*, CAST(floor({n}.z) AS BIGINT) + a.a AS vz, CAST(floor({n}.y) AS BIGINT) + b.b AS vy, CAST(floor({n}.x) AS BIGINT) + c.c AS vx FROM {n}, {reach} a(a), {reach} b(b), {reach} c(c))
