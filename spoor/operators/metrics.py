@@ -51,16 +51,19 @@ def _same(a: str, b: str) -> Column:
     return F.coalesce(F.col(a) == F.col(b), F.lit(False))
 
 
-def fp_divisions(rec_edges: DataFrame, matches: DataFrame, sparse: bool = True) -> DataFrame:
+def fp_divisions(rec_edges: DataFrame, matches: DataFrame, sparse: bool = True, gt_edges: DataFrame | None = None) -> DataFrame:
     """(id, c1, c2): reconstructed divisions whose child edges are not matched to annotated edges of one target; c1 and c2 are those targets.
 
-    Against a sparse annotation a division without a matched child counts only if its edge back in time is matched.
+    Against a sparse annotation a division without a matched child counts only if
+    its edge back in time is matched; with ``gt_edges``, only if the annotated
+    track goes on there as well, so a division after its end is none of its errors.
     """
     found = divisions(rec_edges)
     y = matches.select("y_source", "y_target", "x_target")
     for k in (1, 2):
         found = found.join(y.select(F.col("y_source").alias(f"child{k}"), F.col("y_target").alias("parent"), F.col("x_target").alias(f"c{k}")), [f"child{k}", "parent"], "left")
-    back = matches.select(F.col("y_source").alias("parent"), F.lit(True).alias("back")).distinct()
+    inside = matches if gt_edges is None else matches.join(gt_edges.select(F.col("target").alias("x_source")), "x_source", "left_semi")
+    back = inside.select(F.col("y_source").alias("parent"), F.lit(True).alias("back")).distinct()
     found = found.join(back, "parent", "left").filter(~_same("c1", "c2"))
     if sparse:
         found = found.filter("c1 is not null or c2 is not null or back")

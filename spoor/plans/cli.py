@@ -32,7 +32,7 @@ def main(args: list[str] | None = None) -> None:
         elif step == "evaluate":
             gt = to_graph(read_tracks(spark, given.annotation, roi=roi))
             e = config.evaluate
-            settings = dict(threshold=e.matching_threshold, window=e.window_size, sparse=e.sparse, count_unconnected_parent=e.fn_div_count_unconnected_parent, validation=e.validation_score, ignore_one_off=e.ignore_one_off_div_errors)
+            settings = dict(threshold=e.matching_threshold, window=e.window_size, sparse=e.sparse, count_unconnected_parent=e.fn_div_count_unconnected_parent, validation=e.validation_score, ignore_one_off=e.ignore_one_off_div_errors, exempt_after_end=e.exempt_divisions_after_end)
             for param_id in sets:
                 evaluate_store(store, gt, param_id, settings, config.evaluation_roi, e.from_scratch)
         else:

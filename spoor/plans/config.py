@@ -145,6 +145,7 @@ class EvaluateSection:
     fn_div_count_unconnected_parent: bool = True
     validation_score: bool = False
     ignore_one_off_div_errors: bool = False
+    exempt_divisions_after_end: bool = False
     from_scratch: bool = False
     roi: RoiSection | None = section(RoiSection, default=None)
 

@@ -411,6 +411,16 @@ def fp_divisions(spark, sf_dir):
     return metrics.fp_divisions(r.edges, m).fillna(-1)
 
 
+@query(f"""WITH {_MATCH}, d AS (SELECT target AS parent, min(source) AS c1e, max(source) AS c2e FROM ge GROUP BY target HAVING count(*) = 2)
+SELECT d.parent AS id, coalesce(a.y_target, -1) AS c1, coalesce(b.y_target, -1) AS c2 FROM d LEFT JOIN m a ON a.x_source = c1e AND a.x_target = d.parent LEFT JOIN m b ON b.x_source = c2e AND b.x_target = d.parent
+WHERE NOT coalesce(a.y_target = b.y_target, false) AND (a.y_target IS NOT NULL OR b.y_target IS NOT NULL OR d.parent IN (SELECT x_source FROM m WHERE y_source IN (SELECT target FROM re)))""")
+def fp_divisions_open_end(spark, sf_dir):
+    """The whole annotation against its part with missing edges; divisions where that part's track ends are left out."""
+    whole, part = _both(spark, sf_dir)
+    matches, _ = match.match_edges(part, whole, 0.5)
+    return metrics.fp_divisions(whole.edges, cut(matches), gt_edges=part.edges).fillna(-1)
+
+
 @query(f"WITH {_MATCH}, {_FND} SELECT id, result, unconnected_parent FROM fnd")
 def fn_divisions(spark, sf_dir):
     g, _, m, _ = _matched(spark, sf_dir)

@@ -200,3 +200,13 @@ def test_two_cells_of_a_track_in_a_frame_are_an_error(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 0, 0.0, 0.0, 1.0)], "track bigint, t int, z double, y double, x double")
     with pytest.raises(Exception, match="two cells in a frame"):
         validation_score(rows, rows).collect()
+
+
+def test_a_division_after_the_end_of_a_track_can_be_exempt(spark):
+    """The annotation ends where the reconstruction divides; a second one goes on there elsewhere, so its division counts both ways."""
+    cells = [(1, 0, 0, 0, 0), (2, 1, 0, 0, 0)]
+    fork = cells + [(3, 2, 60, 0, 0), (4, 2, -60, 0, 0)]
+    ends, goes_on = graph(spark, cells, [(2, 1)]), graph(spark, cells + [(5, 2, 0, 0, 0)], [(2, 1), (5, 2)])
+    rec = graph(spark, fork, [(2, 1), (3, 2), (4, 2)])
+    count = lambda gt, exempt: evaluate(gt, rec, 5.0, exempt_after_end=exempt).first()["fp_divisions"]
+    assert [count(ends, False), count(ends, True), count(goes_on, True)] == [1, 0, 1]
