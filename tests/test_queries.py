@@ -9,7 +9,7 @@ from spoor.queries import ORACLE, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no given tables")
-SOME = ["candidate_edges", "candidate_edges_mv", "edge_recall", "objective_cell_state", "division_state", "indicators", "split_at_divisions", "edge_matches", "fn_divisions", "perfect_segments", "score_upsert", "best_config", "avg_movement_vector", "normalize_median", "movement_vector_paint"]
+SOME = ["candidate_edges", "candidate_edges_mv", "edge_recall", "objective_cell_state", "division_state", "indicators", "split_at_divisions", "edge_matches", "fn_divisions", "perfect_segments", "score_upsert", "best_config", "avg_movement_vector", "normalize_median", "movement_vector_paint", "validation_score_gaps", "rasterize_tubes", "fp_divisions_open_end"]
 
 
 def rows(names, values):
