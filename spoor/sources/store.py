@@ -153,7 +153,7 @@ def reset(selections: DataFrame, nodes: DataFrame | None, param_ids: list[int] |
     if nodes is None:
         return selections.filter(~goes)
     inside = nodes.select(F.col("id").alias("source")).distinct().withColumn("_in", F.lit(True))
-    return selections.join(inside, "source", "left").filter(~(goes & F.coalesce("_in", F.lit(False)))).drop("_in")
+    return selections.join(inside.hint("merge"), "source", "left").filter(~(goes & F.coalesce("_in", F.lit(False)))).drop("_in")
 
 
 def find(registry: DataFrame, wanted: dict, with_roi: bool = True) -> str | None:
