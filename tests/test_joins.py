@@ -42,3 +42,13 @@ def test_large_sides_are_not_broadcast(spark):
     flags = edges.select(F.lit(1).alias("param_id"), "source", "target", F.lit(True).alias("selected"))
     for df in (edges, filters.keep_incident(edges, cells), graph.validate(cells, edges), graph.selected_graph(cells, edges, flags, 1)[0], objective.pinned(edges, flags)):
         assert "BroadcastHashJoin" not in plan(df)
+
+
+def test_rounds_of_components_do_not_multiply_estimates(spark):
+    """The digits of the estimated size grew fourfold a round, until the driver's memory was used up."""
+    from spoor.plans.components import connected_components
+
+    path = spark.range(200).select((F.col("id") + 1).alias("a"), F.col("id").alias("b"))
+    found = connected_components(path, few=-1)
+    assert found.filter("component <> 0").isEmpty() and found.count() == 201
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**200
