@@ -65,6 +65,12 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def rounded_signed(column: str, digits: int = 6):
+    """Rounded as SQL's ROUND does, which leaves a negative number that rounds to zero its sign."""
+    near = F.round(column, digits)
+    return F.when((F.col(column) < 0) & (near == 0), F.lit(-0.0)).otherwise(near)
+
+
 def _candidates(spark, sf_dir, **how) -> DataFrame:
     return spatial.candidate_edges(tables.cells(spark, sf_dir), how.pop("threshold", 15.0), how.pop("use_motion", False))
 
@@ -229,7 +235,7 @@ LOGS = objective.SolveParameters(track_cost=4.0, weight_edge_score=0.1, weight_n
 UNION ALL SELECT 'node_appear', id, -1, CASE WHEN {_FREE} THEN 0.0::DOUBLE ELSE 4.0::DOUBLE END FROM cells UNION ALL SELECT 'node_split', id, -1, 1.0::DOUBLE FROM cells
 UNION ALL SELECT 'edge_selected', source, target, CASE WHEN prediction_distance > 0 THEN round(ln(prediction_distance) * 0.1::DOUBLE, 6) ELSE '-Infinity'::DOUBLE END FROM near""")
 def objective_log(spark, sf_dir):
-    return rounded(objective.objective(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), LOGS).fillna(-1, ["other"]), "coef")
+    return objective.objective(tables.cells(spark, sf_dir), _candidates(spark, sf_dir), LOGS).fillna(-1, ["other"]).withColumn("coef", rounded_signed("coef"))
 
 
 def _with_states(cells: DataFrame) -> DataFrame:

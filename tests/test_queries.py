@@ -30,3 +30,15 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(ORACLE) <= set(QUERIES)
+
+
+def test_negative_costs_that_round_to_zero_keep_their_sign_as_in_sql(spark, tmp_path):
+    """A cell predicted 0.999999 from another: the logarithm of their distance rounds to minus zero."""
+    db = duckdb.connect()
+    where = f"{tmp_path}/events.parquet"
+    db.sql(f"""copy (select event_id, (timestamp '2024-01-01' + to_days(CAST(event_id AS INTEGER))) as ts, 5 + event_id as user_id, 'view' as event_type, v as value, '{{"k": ' || k || '}}' as props
+      from (values (0::BIGINT, 10.0::DOUBLE, 4), (1::BIGINT, 14.0::DOUBLE + 0.999999, 6)) e(event_id, v, k)) to '{where}' (format parquet)""")
+    db.sql(f"create view events as select * from '{where}'")
+    found, expected = QUERIES["objective_log"](spark, str(tmp_path)), db.sql(ORACLE["objective_log"])
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == rows(expected.columns, expected.fetchall())
+    assert "-0.0" in {str(r[0]) for r in found.filter("kind = 'edge_selected'").select("coef").collect()}
