@@ -52,3 +52,15 @@ def test_rounds_of_components_do_not_multiply_estimates(spark):
     found = connected_components(path, few=-1)
     assert found.filter("component <> 0").isEmpty() and found.count() == 201
     assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**200
+
+
+def test_constraints_read_edges_and_nodes_once(spark):
+    """A union of a part for each family joined the candidate edges anew in each: nine merge joins for these rows."""
+    _, cells = placed(spark, 50, 6)
+    edges = spatial.candidate_edges(cells, 15.0)
+    rows = objective.constraints(cells, edges, cell_state=True)
+    assert plan(rows).count("SortMergeJoin ") == 1
+    assert rows.count() == edges.count() * 13 + cells.count() * 9
+    flags = edges.select("source", "target", (F.col("source") % 2 == 0).alias("selected"))
+    found = objective.pinned(edges.filter("source < 10"), flags)
+    assert {r["rhs"] for r in found.filter("cid % 2 = 0").collect()} == {1.0} and {r["rhs"] for r in found.filter("cid % 2 = 1").collect()} == {0.0}
