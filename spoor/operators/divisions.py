@@ -23,8 +23,11 @@ def division_reports(gt: DataFrame, rec: DataFrame, target_frame: int, threshold
     Points of the target frame are matched to each other; then annotated points
     left over to reconstructed ones b frames away, and reconstructed points left
     over likewise, for b up to the leniency. Undefined rates are null.
+    Other frames are never compared, so points of these alone are computed, once.
     """
     at = F.col("t") == target_frame
+    near = F.col("t").between(target_frame - frame_buffer, target_frame + frame_buffer)
+    gt, rec = cut(gt.filter(near)), cut(rec.filter(near))
     gt_left, rec_left = gt.filter(at), rec.filter(at)
     totals = gt_left.agg(F.count(F.lit(1)).alias("gt_total")).join(rec_left.agg(F.count(F.lit(1)).alias("rec_total")))
     gt_free, rec_free = gt, rec

@@ -371,3 +371,21 @@ def test_channels(spark):
     assert {tuple(r["value"]) for r in both.collect()} == {(0.0, 10.0), (1.0, 11.0)} and arrays.stack([one, two]).groupBy("rep").count().count() == 2
     assert {tuple(sorted(r["v"])) for r in both.select(arrays.shuffle_channels(F.col("value"), 3).alias("v")).collect()} == {(0.0, 10.0), (1.0, 11.0)}
     assert arrays.mean_squared_error(spark.createDataFrame([(1.0, 3.0), (2.0, 2.0)], "p double, q double"), "p", "q").first()["mse"] == 2.0
+
+
+def test_division_reports_store_only_frames_they_compare(spark, monkeypatch):
+    from spoor.operators import divisions
+
+    rows = [(1, 3, 0.0, 0.0, 0.0), (2, 4, 9.0, 0.0, 0.0), (3, 50, 0.0, 0.0, 0.0)]
+    nodes = spark.createDataFrame(rows, "id bigint, t int, z double, y double, x double")
+    plain, seen = divisions.cut, set()
+
+    def watched(df):
+        out = plain(df)
+        if "t" in out.columns:
+            seen.update(r["t"] for r in out.select("t").collect())
+        return out
+
+    monkeypatch.setattr(divisions, "cut", watched)
+    found = [tuple(r)[:5] for r in division_reports(nodes, nodes, 3, 1.5, 1).orderBy("leniency").collect()]
+    assert found == [(0, 1, 1, 0, 0), (1, 1, 1, 0, 0)] and seen == {3, 4}
