@@ -210,3 +210,18 @@ def test_a_division_after_the_end_of_a_track_can_be_exempt(spark):
     rec = graph(spark, fork, [(2, 1), (3, 2), (4, 2)])
     count = lambda gt, exempt: evaluate(gt, rec, 5.0, exempt_after_end=exempt).first()["fp_divisions"]
     assert [count(ends, False), count(ends, True), count(goes_on, True)] == [1, 0, 1]
+
+
+def test_tracks_with_a_near_copy_are_not_compared_from_afar(spark, monkeypatch):
+    """No pair further away than the first reach can be better, so none is made; a track without a copy goes on."""
+    from spoor.operators import metrics
+
+    reaches, join = [], metrics.range_join
+    monkeypatch.setattr(metrics, "range_join", lambda left, right, radius, largest, *more, **how: reaches.append(largest) or join(left, right, radius, largest, *more, **how))
+    table = lambda rows: spark.createDataFrame(rows, "track bigint, t int, z double, y double, x double")
+    copies = [(k, t, 0.0, 0.0, 40.0 * k) for k in range(6) for t in range(3)]
+    assert max(r["score"] for r in metrics.validation_score(table(copies), table(copies)).collect()) < 1e-3
+    assert reaches == [metrics.REACHES[0]]
+    reaches.clear()
+    far = [r["score"] for r in metrics.validation_score(table([*copies, (9, 0, 0.0, 0.0, 900.0), (9, 1, 0.0, 0.0, 900.0)]), table(copies)).collect() if r["track"] == 9]
+    assert far == [3.0] and reaches == list(metrics.REACHES)
