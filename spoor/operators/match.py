@@ -43,7 +43,7 @@ def match_nodes(x: DataFrame, y: DataFrame, threshold: float) -> DataFrame:
 
 def candidate_edge_pairs(x, y, threshold: float) -> DataFrame:
     """Edge pairs with costs; an edge is named by its source, which has one edge back in time."""
-    return edge_costs(x.edges, y.edges, node_pairs(x.nodes, y.nodes, threshold))
+    return edge_costs(x.edges, y.edges, cut(node_pairs(x.nodes, y.nodes, threshold)))  # both ends ask for them
 
 
 def match_edges(x, y, threshold: float) -> tuple[DataFrame, DataFrame]:

@@ -64,3 +64,19 @@ def test_constraints_read_edges_and_nodes_once(spark):
     flags = edges.select("source", "target", (F.col("source") % 2 == 0).alias("selected"))
     found = objective.pinned(edges.filter("source < 10"), flags)
     assert {r["rhs"] for r in found.filter("cid % 2 = 0").collect()} == {1.0} and {r["rhs"] for r in found.filter("cid % 2 = 1").collect()} == {0.0}
+
+
+def test_matching_makes_tracks_and_node_pairs_once(spark):
+    """Each table of nodes and edges derived the tracks anew from the events, and each end of an edge made the pairs of nodes anew."""
+    from pathlib import Path
+
+    from spoor.operators import match
+    from spoor.queries import _both, _coloured
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("no given tables")
+    g, r = _both(spark, data)
+    for df in (g.nodes, g.edges, r.nodes, r.edges, *_coloured(spark, data)):
+        assert not df.inputFiles()
+    assert "Generate" not in plan(match.candidate_edge_pairs(g, r, 0.5))
